@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import chat, line_rules, mixing, packing, token_files
+from loomwork.llm import chat, hd_language, line_rules, mixing, near_duplicates, packing, quality_model, text, token_files
 from loomwork.session import read_table, scratch_path
 
 
@@ -71,6 +71,10 @@ FROM laid
 """
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_rows")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -116,12 +120,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM base
 """
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    left = text.remainder(F.col("doc_id"), 4)
+    languages, prototypes = hd_language.learn(docs.filter(left != 2))
+    held_out = F.coalesce(left == 2, F.lit(False)).alias("held_out")
+    return hd_language.predict(docs.select("doc_id", "text"), languages, prototypes).select("doc_id", held_out, "lang_pred", "score")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_model.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(text.remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out")
+    return rows.select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_mixing": op2_mixing,
+    "op3_near_duplicates": op3_near_duplicates,
     "op6_packing": op6_packing,
+    "op7_language": op7_language,
     "op8_token_files": op8_token_files,
     "op9_line_rules": op9_line_rules,
+    "op10_quality": op10_quality,
 }
 
 SQL = {"op2_mixing": OP2_SQL, "op9_line_rules": OP9_SQL}
