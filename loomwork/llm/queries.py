@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import chat, hd_language, line_rules, mixing, near_duplicates, packing, quality_model, suffix_model, text, token_files
+from loomwork.llm import chat, hd_language, line_rules, mixing, near_duplicates, packing, quality_model, suffix_model, text, token_files, vector_index
 from loomwork.session import read_table, scratch_path
 
 
@@ -75,6 +75,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_rows")
 
 
+def op4_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_index.search(read_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 def op5_suffix_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     rows = suffix_model.score(docs, docs.filter(text.remainder(F.col("doc_id"), 7) != 2))
@@ -144,6 +148,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_mixing": op2_mixing,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_vector_search": op4_vector_search,
     "op5_suffix_scores": op5_suffix_scores,
     "op6_packing": op6_packing,
     "op7_language": op7_language,
