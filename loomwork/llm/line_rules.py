@@ -127,6 +127,15 @@ def apply_rules(docs: DataFrame, **limits) -> DataFrame:
     """The input rows with their statistics and verdict, joined back by id and content."""
     verdicts = judged(docs, **limits).dropDuplicates(["doc_id", "content"])
     verdicts = verdicts.withColumnsRenamed({"doc_id": "__doc", "content": "__content"})
-    plain = docs.drop(*RESULT)
+    return docs.drop(*RESULT).join(verdicts, _same(), "left").drop("__doc", "__content")
+
+
+def kept_rows(docs: DataFrame, **limits) -> DataFrame:
+    """The input rows that are kept. The rejected ones' ids and hashes are small enough to broadcast, or are joined by shuffle."""
+    gone = judged(docs, **limits).filter(~F.col("kept")).select(F.col("doc_id").alias("__doc"), F.col("content").alias("__content"))
+    return docs.join(stored(gone.distinct(), "line-rejected"), _same(), "left_anti")
+
+
+def _same() -> Column:
     content = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return plain.join(verdicts, F.col("doc_id").eqNullSafe(F.col("__doc")) & (content == F.col("__content")), "left").drop("__doc", "__content")
+    return F.col("doc_id").eqNullSafe(F.col("__doc")) & (content == F.col("__content"))

@@ -229,10 +229,9 @@ def classify(docs: DataFrame, labels: DataFrame, **training) -> DataFrame:
     return scored(table, train(table, labels, **training))
 
 
-def with_scores(docs: DataFrame, labels: DataFrame, **training) -> DataFrame:
-    """The input rows with their score; texts are measured again, not shuffled."""
-    table = measured(docs)
-    model = train(table, labels, **training)
+def with_scores(docs: DataFrame, labels: DataFrame, *, score: str = "score", **training) -> DataFrame:
+    """The input rows with their score in a column ``score``; texts are measured again, not shuffled."""
+    model = train(measured(docs), labels, **training)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -240,8 +239,7 @@ def with_scores(docs: DataFrame, labels: DataFrame, **training) -> DataFrame:
         for batch in batches:
             bodies = batch.column("text").to_pylist()
             x = np.stack([statistics(b) for b in bodies]) if bodies else np.zeros((0, N_STATISTICS))
-            score = model.score(x) if model else np.full(len(bodies), 0.5)
-            yield batch.append_column("score", pa.array(score))
+            yield batch.append_column(score, pa.array(model.score(x) if model else np.full(len(bodies), 0.5)))
 
-    plain = docs.drop("score").withColumn("text", F.col("text").cast("string"))
-    return plain.mapInArrow(run, T.StructType([*plain.schema.fields]).add("score", "double"))
+    plain = docs.drop(score).withColumn("text", F.col("text").cast("string"))
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields]).add(score, "double"))
