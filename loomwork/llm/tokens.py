@@ -1,9 +1,10 @@
 """Exact, cached encoding with a public byte-level BPE vocabulary.
 
 The vocabulary's pre-tokenizer always starts a new piece at a single blank that
-a non-blank character follows, so a text can be cut there, each distinct chunk
-encoded once by the tokenizers library, and the ids strung together. Texts with
-runs of blanks, where a cut could fall inside a piece, are encoded whole.
+a non-blank character follows, and, in texts of the Latin script, wherever
+letters meet other characters (apostrophes aside). So a text can be cut there,
+each distinct piece encoded once by the tokenizers library, and the ids strung
+together. What doesn't fit these rules is encoded whole.
 """
 
 from __future__ import annotations
@@ -13,8 +14,15 @@ import re
 
 #: A blank beside another white-space character, or at either end.
 _UNSAFE = re.compile(r" \s|\A | \Z")
-#: Longest chunk worth keeping; longer ones are encoded and forgotten.
-_LONGEST = 48
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_PLAIN = f"\\t\\n\\x21-\\x26\\x28-\\x7e{_LETTERS}"
+_ALL_PLAIN = re.compile(f"[ {_PLAIN}]*")
+#: Pieces of plain texts: letters, a lone line end before a letter, other runs,
+#: and any other white space with all that follows up to a blank.
+_PIECES = re.compile(f" ?[{_LETTERS}]+|\\n(?=[{_LETTERS}])| ?[^{_LETTERS}\\s]+|\\s+[^ ]*")
+#: The same for all texts: what lies between blanks stays whole if any of it isn't plain.
+_MIXED = re.compile(f" ?[{_PLAIN}]*[^ {_PLAIN}][^ ]*|{_PIECES.pattern}")
+_INNER_BLANK = re.compile(r".\s|\s\Z", re.DOTALL)
 
 
 def default_vocabulary() -> str:
@@ -24,29 +32,46 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids as bytes; keeps at most ``kept`` chunks."""
+    """Encodes texts to little-endian unsigned 32-bit ids as bytes; keeps at most about ``kept`` pieces."""
 
-    def __init__(self, vocabulary: str, end_id: int | None = None, kept: int = 400_000):
+    def __init__(self, vocabulary: str, end_id: int | None = None, kept: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.end = b"" if end_id is None else end_id.to_bytes(4, "little")
-        self.kept, self.chunks = kept, {}
+        self.kept = kept
+        self.pieces: dict[str, bytes] = {}
+        self.line_end = int.from_bytes(self._whole(["\n"])[0], "little")
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def _learn(self, new: list[str]) -> None:
+        """Encode pieces, most of them as lines of one text, in which a lone line end is a piece of its own."""
+        import numpy as np
+
+        lines = [x for x in new if _ALL_PLAIN.fullmatch(x) and not _INNER_BLANK.search(x) and x[0] not in "\n\t"]
+        other = [*set(new).difference(lines)]
+        self.pieces.update(zip(other, self._whole(other), strict=True))
+        for at in range(0, len(lines), 4096):
+            part = lines[at : at + 4096]
+            ids = np.frombuffer(self._whole(["\n".join(part)])[0], "<u4")
+            raw, start = ids.tobytes(), 0
+            for piece, end in zip(part, [*np.flatnonzero(ids == self.line_end).tolist(), len(ids)], strict=True):
+                self.pieces[piece] = raw[4 * start : 4 * end]
+                start = end + 1
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null counts as empty."""
         cut: list[list[str] | None] = []
-        whole: list[str] = []
         new: set[str] = set()
-        known = self.chunks
+        whole: list[str] = []
+        known = self.pieces
         if len(known) > self.kept:
             known.clear()
         for text in texts:
@@ -56,24 +81,11 @@ class Encoder:
                 cut.append(None)
                 whole.append(text)
             else:
-                first, *rest = text.split(" ")
-                parts = [first, *[" " + x for x in rest]]
-                new.update(x for x in parts if x not in known)
-                cut.append(parts)
-        fresh = list(new)
-        ids = dict(zip(fresh, self._ids(fresh), strict=True)) if fresh else {}
-        known.update((k, v) for k, v in ids.items() if len(k) <= _LONGEST)
-        long = {k: v for k, v in ids.items() if len(k) > _LONGEST}
-        uncut = iter(self._ids(whole) if whole else ())
-        out = []
-        for parts in cut:
-            if parts is None:
-                out.append(next(uncut) + self.end)
-            elif long:
-                out.append(b"".join([long[x] if x in long else known[x] for x in parts]) + self.end)
-            else:
-                out.append(b"".join([known[x] for x in parts]) + self.end)
-        return out
+                cut.append((_PIECES if _ALL_PLAIN.fullmatch(text) else _MIXED).findall(text))
+                new.update(set(cut[-1]).difference(known))
+        self._learn([*new])
+        uncut = iter(self._whole(whole))
+        return [next(uncut) + self.end if parts is None else b"".join([*map(known.__getitem__, parts), self.end]) for parts in cut]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
