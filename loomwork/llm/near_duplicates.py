@@ -11,10 +11,10 @@ that is later than all components of their text, so work is near-linear.
 
 Bands of components give buckets. Small buckets yield all their pairs; in large
 ones every text is paired with the bucket's hub, the member that shares most
-buckets with others (the source of a family of copies agrees with all of them),
-and texts unlike the hub go on to further rounds with further hubs until none
-are left. Every pair is then verified on exact shingle counts, and links of
-``least`` similarity or more are closed into classes.
+buckets with others (the source of a family of copies agrees with all of them).
+Pairs are verified on exact shingle counts, and links of ``least`` similarity or
+more are closed into classes. Members of a large bucket that are in different
+classes after that are compared exactly, in blocks, before classes are final.
 
 Identical texts share one node from the start, so groups of copies cost one
 signature in the buckets. No task ever holds a whole bucket or class.
@@ -166,17 +166,21 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float(shared / total) if total else 0.0
 
 
-def verified(pairs: DataFrame, docs: DataFrame, *, least: float, width: int, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """The pairs (a, b) of nodes whose exact shingle overlap is at least ``least``.
+def texts_of(nodes: DataFrame, docs: DataFrame, *, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(node, text) of some nodes; only their texts move.
 
-    Only texts that are in some pair move. The set of their nodes is broadcast up
-    to ``broadcast_rows`` of 16 bytes, and joined by shuffle beyond.
+    The set of nodes is broadcast up to ``broadcast_rows`` of 16 bytes, and joined by shuffle beyond.
     """
-    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-needed")
+    needed = stored(nodes.distinct(), "near-needed")
     small = needed.count() <= broadcast_rows
     body = F.col("text").cast("string")
     rows = docs.select(F.unhex(F.md5(body.cast("binary"))).alias("node"), body.alias("text"))
-    texts = stored(rows.join(F.broadcast(needed) if small else needed, "node", "left_semi").dropDuplicates(["node"]), "near-texts")
+    return stored(rows.join(F.broadcast(needed) if small else needed, "node", "left_semi").dropDuplicates(["node"]), "near-texts")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, *, least: float, width: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose exact shingle overlap is at least ``least``."""
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -195,52 +199,86 @@ def verified(pairs: DataFrame, docs: DataFrame, *, least: float, width: int, bro
     both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
     out = stored(both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary"), "near-links")
     discard(texts)
-    discard(needed)
     return out
 
 
-def candidate_rounds(members: DataFrame, docs: DataFrame, *, least: float, width: int, small: int = 16, hubs: int = 8) -> DataFrame:
-    """Verified links between the members (key, node, n) of buckets with n members each."""
+def bucket_links(members: DataFrame, docs: DataFrame, *, least: float, width: int, small: int = 16) -> DataFrame:
+    """Verified links between members (key, node, n) of buckets: all pairs of small ones, hub and members of large ones."""
     # The hub of a bucket is the member with the most company over all its buckets.
     company = members.groupBy("node").agg(F.sum("n").alias("company"))
-    left = stored(members.join(company, "node"), "near-members")
-    links: DataFrame | None = None
-    checked: DataFrame | None = None
-    per_round = 1
-    while True:
-        few = left.filter(F.col("n") <= small).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
-        every = F.flatten(
-            F.transform("nodes", lambda x, i: F.transform(F.slice("nodes", i + 2, F.lit(small)), lambda y: F.struct(x.alias("a"), y.alias("b"))))
-        )
-        close = few.select(F.explode(every).alias("p")).select("p.a", "p.b")
-        many = left.filter(F.col("n") > small)
-        rank = F.row_number().over(_by_company())
-        chosen = many.select("key", "node", "company").withColumn("rank", rank).filter(F.col("rank") <= per_round).select("key", F.col("node").alias("hub"))
-        chosen = stored(chosen, "near-hubs")
-        spokes = stored(many.join(chosen, "key").filter(F.col("node") != F.col("hub")).select("key", "node", "hub"), "near-spokes")
-        pairs = close.unionByName(spokes.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))).distinct()
-        pairs = pairs.join(checked, ["a", "b"], "left_anti") if checked is not None else pairs
-        pairs = stored(pairs, "near-pairs")
-        found = verified(pairs, docs, least=least, width=width)
-        links = found if links is None else links.unionByName(found)
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        if spokes.isEmpty():
-            return links
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        settled = spokes.join(both.select(F.col("a").alias("node"), F.col("b").alias("hub")), ["node", "hub"], "left_semi").select("key", "node")
-        gone = settled.unionByName(chosen.select("key", F.col("hub").alias("node"))).distinct()
-        rest = many.join(gone, ["key", "node"], "left_anti")
-        counts = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-        left = stored(rest.drop("n").join(counts, "key"), "near-members")
-        per_round = hubs
-        if left.isEmpty():
-            return links
-
-
-def _by_company():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("key").orderBy(F.col("company").desc(), "node")
+    few = members.filter(F.col("n") <= small).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+    every = F.flatten(
+        F.transform("nodes", lambda x, i: F.transform(F.slice("nodes", i + 2, F.lit(small)), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+    )
+    close = few.select(F.explode(every).alias("p")).select("p.a", "p.b")
+    many = members.filter(F.col("n") > small)
+    hubs = many.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", "node")).alias("hub"))
+    spokes = many.join(hubs, "key").filter(F.col("node") != F.col("hub"))
+    pairs = close.unionByName(spokes.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))).distinct()
+    return verified(stored(pairs, "near-pairs"), docs, least=least, width=width)
+
+
+def remaining_links(members: DataFrame, roots: DataFrame, table: DataFrame, docs: DataFrame, *, least: float, width: int, small: int = 16, block: int = 400) -> DataFrame | None:
+    """Links that hubs have missed in large buckets, or None where there can't be any.
+
+    A bucket whose members are all in one class by now is settled. In others,
+    every member outside the bucket's largest class is compared with all
+    members of other classes, block by block: exactly, and without making rows
+    of pairs. A pair is compared in the first band that it shares, and a member
+    that is linked to a class skips the rest of it.
+    """
+    many = members.filter(F.col("n") > small).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    by_class = many.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
+    mixed_ = by_class.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("size", "root")).alias("main"), (F.sum("size") - F.max("size")).alias("minor"))
+    mixed_ = stored(mixed_.filter(F.col("roots") > 1).drop("roots"), "near-mixed")
+    if mixed_.isEmpty():
+        return None
+    left = stored(many.join(mixed_, "key").select("key", "node", "root", "n", "minor", (F.col("root") != F.col("main")).alias("asks")), "near-left")
+    texts = texts_of(left.select("node"), docs)
+    keys = table.filter("keys is not null").join(texts.select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", "keys")
+    whole = left.join(texts, "node").join(keys, "node")
+    blocks = lambda c: F.greatest(F.ceil(F.col(c) / block), F.lit(1)).cast("int")
+    own = lambda c: F.pmod(F.xxhash64("node"), blocks(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+    held = whole.select("key", own("n").alias("i"), each("minor").alias("j"), "node", "root", "asks", "keys", "text")
+    new = lambda c: F.col(c).alias(f"q_{c}")
+    asking = whole.filter("asks").select(new("key"), each("n").alias("q_i"), own("minor").alias("q_j"), *map(new, ("node", "root", "keys", "text")))
+
+    def run(key, mine, asked):
+        import pyarrow as pa
+
+        schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+        if not mine.num_rows or not asked.num_rows:
+            return schema.empty_table()
+        nodes, roots_, asks = (mine.column(c).to_pylist() for c in ("node", "root", "asks"))
+        bands = np.array(mine.column("keys").to_pylist(), np.int64)
+        bags = [shingles(x, width) for x in mine.column("text").to_pylist()]
+        owner = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
+        hashes, counts = np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags])
+        order = np.argsort(hashes, kind="stable")
+        hashes, counts, owner = hashes[order], counts[order], owner[order]
+        totals = np.bincount(owner, counts, len(bags))
+        here, out = key[0].as_py(), []
+        for node, root, own_keys, text in zip(*(asked.column(c).to_pylist() for c in ("q_node", "q_root", "q_keys", "q_text")), strict=True):
+            h, c = shingles(text, width)
+            low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            n = high - low
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            shared = np.bincount(owner[at], np.minimum(counts[at], np.repeat(c, n)), len(bags))
+            like = shared / np.maximum(totals + c.sum() - shared, 1) >= least
+            equal = bands == np.array(own_keys, np.int64)
+            first = np.array(own_keys)[equal.argmax(1)] == here
+            linked = {root}
+            for m in np.flatnonzero(like & first):
+                if roots_[m] not in linked and not (asks[m] and nodes[m] < node):
+                    linked.add(roots_[m])
+                    out.append((node, nodes[m]))
+        return pa.table([list(x) for x in zip(*out, strict=True)], schema=schema) if out else schema.empty_table()
+
+    found = held.groupBy("key", "i", "j").cogroup(asking.groupBy("q_key", "q_i", "q_j")).applyInArrow(run, "a binary, b binary")
+    found = stored(found.distinct(), "near-links")
+    discard(texts)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -278,7 +316,11 @@ def classes(docs: DataFrame, *, least: float = 0.8, bands: int = 32, rows: int =
     flat = unique.select(F.explode("keys").alias("key"), "node")
     counts = flat.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     members = stored(flat.join(counts, "key"), "near-buckets")
-    roots = components(candidate_rounds(members, docs, least=least, width=width))
+    links = bucket_links(members, docs, least=least, width=width)
+    roots = components(links)
+    more = remaining_links(members, roots, table, docs, least=least, width=width)
+    if more is not None:
+        roots = components(links.unionByName(more))
     named = table.select("doc_id", "node").join(roots, "node", "left")
     lone = F.col("node").isNull()
     with_class = named.filter(~lone).withColumn("root", F.coalesce("root", "node"))
