@@ -139,8 +139,7 @@ def date_trunc(unit: str, v: Value) -> Value:
     """Start of a year, quarter, month, week (from Sunday), day or hour."""
     t = V.time(v)
     if unit.upper() == "WEEK":
-        day = F.date_trunc("DAY", t)
-        return Value(F.timestampadd("DAY", 1 - F.dayofweek(t), day), "time", _TIME)
+        return Value(F.date_trunc("DAY", t) - F.make_dt_interval(F.dayofweek(t) - 1), "time", _TIME)
     return Value(F.date_trunc(unit, t), "time", _TIME) if unit.upper() in ("YEAR", "QUARTER", "MONTH", "DAY", "HOUR") else MISSING
 
 

@@ -20,7 +20,7 @@ RANK = {"null": 1, "bool": 2, "num": 3, "str": 4, "bin": 5, "time": 6, "arr": 9,
 
 @dataclass
 class Value:
-    col: Column
+    col: Column | None
     kind: str
     type: T.DataType | None = None
 
@@ -29,7 +29,7 @@ class Value:
         return F.lit(True) if self.kind == "missing" else self.col.isNull()
 
 
-MISSING = Value(F.lit(None), "missing")
+MISSING = Value(None, "missing")
 
 
 def once(col: Column, body: Callable[[Column], Column]) -> Column:
