@@ -179,7 +179,8 @@ def compare(op: str, a: Value, b: Value) -> Column:
     each = lambda o: F.coalesce(F.exists(many, lambda x: F.coalesce(_plain(o, read(x), b), F.lit(False))), F.lit(False))
     by_element = ~each("=") if op == "!=" else each(op)
     if a.kind == "arr":
-        return F.when(a.col.isNotNull() & ~b.missing, by_element)
+        scalar = F.when(a.col.isNotNull() & ~b.missing, by_element)
+        return F.when(variant_rank(b.col) == 9, _plain(op, a, b)).otherwise(scalar) if b.kind == "var" else scalar
     if b.kind == "var":
         return F.when(many.isNotNull() & (variant_rank(b.col) < 9), by_element).otherwise(_plain(op, a, b))
     return F.when(many.isNotNull(), by_element).otherwise(_plain(op, a, b))

@@ -99,6 +99,13 @@ class Scope:
         """Truth with unknown as false."""
         return F.coalesce(V.truthy(self.value(node)), F.lit(False))
 
+    def keeps(self, node) -> Column:
+        """A filter that keeps the same rows as `holds`: unknown needs no care there, so comparisons stay bare and reach the scan."""
+        if isinstance(node, S.Binary) and node.op in ("AND", "OR"):
+            left, right = self.keeps(node.left), self.keeps(node.right)
+            return left & right if node.op == "AND" else left | right
+        return V.truthy(self.value(node))
+
     def test(self, node) -> Column:
         match node:
             case S.Binary(op="AND"):
@@ -225,14 +232,14 @@ def select(df: DataFrame, statement: S.Select, parameters: dict | None = None) -
     if statement.where is not None:
         if S.has_aggregate(statement.where):
             raise ValueError("an aggregate in WHERE")
-        df = df.filter(scope.holds(statement.where))
+        df = df.filter(scope.keeps(statement.where))
     wanted = [o.expr for o in statement.outputs] + [o.expr for o in statement.order] + [statement.having]
     calls = list(dict.fromkeys(x for node in wanted if node is not None and node != "*" for x in S.walk(node) if isinstance(x, S.Call) and x.name in S.AGGREGATES))
     grouped = bool(statement.group or calls or statement.having is not None)
     if grouped:
         df, scope = _group(df, scope, statement, calls)
         if statement.having is not None:
-            df = df.filter(scope.holds(statement.having))
+            df = df.filter(scope.keeps(statement.having))
     columns = _outputs(df, scope, statement, grouped)
     if statement.distinct:
         kinds = {name for name, v in columns if v.kind in ("var", "arr", "obj")}
@@ -405,7 +412,7 @@ class Database:
         """Rows of a collection that meet a condition, given as text or as a tree."""
         df = self[name]
         node = S.expression(where) if isinstance(where, str) else where
-        df = df.filter(Scope(df, parameters).holds(node)) if node is not None else df
+        df = df.filter(Scope(df, parameters).keeps(node)) if node is not None else df
         return df.limit(limit) if limit is not None else df
 
     def count_where(self, name: str, where=None, parameters: dict | None = None) -> int:
