@@ -4,7 +4,7 @@ import subprocess
 import sys
 from pathlib import Path
 
-from conftest import DATA, ROOT
+from helpers import DATA, ROOT
 
 
 def test_entry(spark):

@@ -1,7 +1,7 @@
 """Every query with SQL gives the same rows in both engines; the others run."""
 
 import pytest
-from conftest import DATA, same_rows
+from helpers import DATA, same_rows
 
 from loomwork.queries import catalog
 

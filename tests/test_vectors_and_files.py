@@ -126,7 +126,7 @@ def test_documents_files(spark, tmp_path):
 
 
 def test_streaming(spark, tmp_path):
-    from conftest import DATA
+    from helpers import DATA
 
     from loomwork.operators import series, streams
     from loomwork.queries import keyspace_queries
