@@ -48,7 +48,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, kept up to a number of words."""
 
-    def __init__(self, kept: int = 1_000_000):
+    def __init__(self, kept: int = 250_000):
         import xxhash
 
         self.make, self.kept = xxhash.xxh3_64_intdigest, kept

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork.llm import text
+from loomwork.llm.tokens import slices
 from loomwork.session import stored
 
 _SPACE = np.zeros(256, bool)
@@ -89,7 +90,7 @@ def measured(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, 1024)):
             flat = [statistics(x) for x in batch.column(2).to_pylist()]
             values = np.concatenate(flat) if flat else np.zeros(0)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, N_STATISTICS, dtype=np.int32)), pa.array(values))
@@ -236,7 +237,7 @@ def with_scores(docs: DataFrame, labels: DataFrame, *, score: str = "score", **t
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, 1024)):
             bodies = batch.column("text").to_pylist()
             x = np.stack([statistics(b) for b in bodies]) if bodies else np.zeros((0, N_STATISTICS))
             yield batch.append_column(score, pa.array(model.score(x) if model else np.full(len(bodies), 0.5)))
