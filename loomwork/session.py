@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -51,6 +52,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """The table, to be broadcast if it has at most ``most_rows`` slim rows; joined by shuffle if it has more."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by `stored` once nothing reads it any more."""
     spark = df.sparkSession
