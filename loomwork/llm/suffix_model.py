@@ -29,29 +29,47 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.near_duplicates import WordHashes
+from loomwork.llm.tokens import slices
 from loomwork.session import stored
 
 #: No word holds a line end, so this stands for the end of a text.
 _END = b"\n"
-_HELD = 400_000
+_HELD = 250_000
 
 
 def _words(body: str | None) -> list[bytes]:
     return [*(body or "").encode("utf-8", "surrogatepass").lower().split(), _END]
 
 
-_HASHES: list[WordHashes] = []
+class Symbols:
+    """Places of words in a sorted array of hashes, or -1, with a bounded number of words at hand."""
 
+    def __init__(self, hashes: np.ndarray, kept: int = 300_000):
+        self.hashes, self.kept = hashes, kept
+        self.held: dict[bytes, int] = {}
 
-def _hashed(body: str | None) -> np.ndarray:
-    if not _HASHES:
-        _HASHES.append(WordHashes())
-    words = _words(body)
-    return np.fromiter(map(_HASHES[0].__getitem__, words), np.uint64, len(words)).view(np.int64)
+    def read(self, bodies: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """All words of some texts in one list, their symbols, and where each text begins.
+
+        No context reaches over the end of a text, as the end is no context.
+        """
+        words, starts = [], []
+        for body in bodies:
+            starts.append(len(words))
+            words += _words(body)
+        if len(self.held) > self.kept:
+            self.held.clear()
+        new = [*set(words).difference(self.held)]
+        self.held.update(zip(new, _found(self.hashes, hashes_of(new)).tolist(), strict=True))
+        return words, np.fromiter(map(self.held.__getitem__, words), np.int64, len(words)), np.asarray(starts, np.int64)
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
 def _found(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -156,13 +174,9 @@ def counted(training: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         held: Counter = Counter()
-        hashes = WordHashes()
 
         def out():
-            rows = pa.RecordBatch.from_arrays(
-                [pa.array(np.fromiter((hashes.make(w) for w in held), np.uint64, len(held)).view(np.int64)), pa.array(np.fromiter(held.values(), np.int64, len(held)))],
-                ["word", "n"],
-            )
+            rows = pa.RecordBatch.from_arrays([pa.array(hashes_of([*held])), pa.array(np.fromiter(held.values(), np.int64, len(held)))], ["word", "n"])
             held.clear()
             return rows
 
@@ -184,30 +198,28 @@ def _pairs(training: DataFrame, tree, level: int) -> DataFrame:
         import pyarrow as pa
 
         own, held, size = tree.value, [], 0
+        table = Symbols(own.hashes)
 
-        def out():
+        def merged():
             codes, n = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            n = np.bincount(n, np.concatenate([h[1] for h in held]), len(codes)).astype(np.int64) if held else n
-            return codes, n
+            return codes, np.bincount(n, np.concatenate([h[1] for h in held]), len(codes)).astype(np.int64) if held else n
 
         def rows(codes, n):
             return pa.RecordBatch.from_arrays([pa.array(codes // own.size), pa.array(codes % own.size), pa.array(n)], ["context", "symbol", "n"])
 
-        for batch in batches:
-            for body in batch.column(0).to_pylist():
-                symbols = _found(own.hashes, _hashed(body))
-                *_, state = own.contexts(symbols)
-                use = (state >= 0) & (symbols >= 0)
-                held.append(np.unique(state[use] * own.size + symbols[use], return_counts=True))
-                size += len(held[-1][0])
-                if size > 2_000_000:
-                    merged = out()
-                    if len(merged[0]) > 1_000_000:
-                        yield rows(*merged)
-                        held, size = [], 0
-                    else:
-                        held, size = [merged], len(merged[0])
-        yield rows(*out())
+        for batch in (x for b in batches for x in slices(b, 512)):
+            _, symbols, _ = table.read(batch.column(0).to_pylist())
+            *_, state = own.contexts(symbols)
+            use = (state >= 0) & (symbols >= 0)
+            held.append(np.unique(state[use] * own.size + symbols[use], return_counts=True))
+            size += len(held[-1][0])
+            if size > 1_000_000:
+                held = [merged()]
+                size = len(held[0][0])
+                if size > 500_000:
+                    yield rows(*held[0])
+                    held, size = [], 0
+        yield rows(*merged())
 
     parts = training.select(F.col("text").cast("string")).mapInArrow(run, "context long, symbol long, n long")
     return parts.groupBy("context", "symbol").agg(F.sum("n").alias("n"))
@@ -232,7 +244,7 @@ def grow(
     spark = training.sparkSession
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("kinds")).first()
     tokens, kinds = int(totals.tokens), int(totals.kinds)
-    end = int(np.array([WordHashes().make(_END)], np.uint64).view(np.int64)[0])
+    end = int(hashes_of([_END])[0])
     frequent = words.filter((F.col("n") >= max(2, tokens * context_share)) | (F.col("word") == end))
     hashes, counts = _arrays(frequent.orderBy("word"))
     tree = Tree(hashes.astype(np.int64), counts.astype(np.int64), tokens, kinds)
@@ -279,36 +291,36 @@ def score(docs: DataFrame, training: DataFrame, **growth) -> DataFrame:
         import pyarrow as pa
 
         own = shared.value
-        for batch in batches:
-            rows, rare, ends = [], [], [0]
-            for body in batch.column(2).to_pylist():
-                hashes = _hashed(body)
-                symbols = _found(own.hashes, hashes)
-                known = symbols >= 0
-                total, open_ = own.score(symbols)
-                base = own.root(symbols[known])
-                total = total.sum() + own.root(symbols[known & open_]).sum()
-                rows.append((len(symbols), int((own.counts[symbols[known]] > 0).sum()), float(base.sum()), float(total)))
-                rare.append(np.unique(hashes[~known], return_counts=True))
-                ends.append(ends[-1] + len(rare[-1][0]))
-            flat = [np.concatenate([r[i] for r in rare]) if rare else np.zeros(0, np.int64) for i in (0, 1)]
-            offsets = pa.array(np.asarray(ends, np.int32))
-            columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int64))) for x in flat]
-            if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, *lists], names)
-
-    names = ["row", "doc_id", "n_tokens", "known", "base", "own", "words", "times"]
+        table = Symbols(own.hashes)
+        for batch in (x for b in batches for x in slices(b, 512)):
+            words, symbols, starts = table.read(batch.column(2).to_pylist())
+            if not len(starts):
+                continue
+            known = symbols >= 0
+            total, open_ = own.score(symbols)
+            base = np.zeros(len(symbols))
+            base[known] = own.root(symbols[known])
+            total += np.where(open_, base, 0)
+            seen = np.zeros(len(symbols), np.int64)
+            seen[known] = own.counts[symbols[known]] > 0
+            rare = np.flatnonzero(~known)
+            keys = hashes_of([words[i] for i in rare.tolist()])
+            offsets = np.concatenate([np.searchsorted(rare, starts), [len(rare)]]).astype(np.int32)
+            sums = [pa.array(np.add.reduceat(x, starts)) for x in (seen, base, total)]
+            sizes = pa.array(np.diff(np.concatenate([starts, [len(words)]])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, *sums, pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))], names)
+
+    names = ["row", "doc_id", "n_tokens", "known", "base", "own", "words"]
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    kinds = "row long, doc_id long, n_tokens long, known long, base double, own double, words array<long>, times array<long>"
+    kinds = "row long, doc_id long, n_tokens long, known long, base double, own double, words array<long>"
     table = stored(source.mapInArrow(run, kinds), "lm-rows")
     floor = float(np.log10(tree.tokens + tree.kinds + 1))
-    rare = table.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    rare = table.select("row", F.explode("words").alias("word"))
     rare = rare.join(words, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    part = F.sum(F.col("times") * (F.log10(F.col("n") + 1) - floor))
-    sums = rare.groupBy("row").agg(part.alias("rare"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more"))
+    part = F.sum(F.log10(F.col("n") + 1) - floor)
+    sums = rare.groupBy("row").agg(part.alias("rare"), F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("more"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return table.drop("words", "times").join(sums, "row", "left").select(
+    return table.drop("words").join(sums, "row", "left").select(
         "doc_id", "n_tokens", (F.col("known") + zero("more")).cast("long").alias("n_known"), F.lit(tree.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + zero("rare")).alias("base_score"), (F.col("own") + zero("rare")).alias("score"),
     )
