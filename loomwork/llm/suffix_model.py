@@ -89,6 +89,8 @@ class Level:
     escape: np.ndarray
     pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     logs: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: for contexts of one word: the context of each symbol, and -1 at the end
+    direct: np.ndarray | None = None
 
 
 @dataclass
@@ -111,12 +113,13 @@ class Tree:
         for n, level in enumerate(self.levels):
             known = np.concatenate([[-1], symbols[:-1]])
             if n == 0:
-                code = known
+                before = level.direct[known]
             else:
                 # the code of a context is that of its first words, times the alphabet, plus its last word
                 shifted = np.concatenate([[-1], before[:-1]])
-                code = np.where((shifted >= 0) & (known >= 0), shifted * self.size + known, -1)
-            before = np.where(code >= 0, _found(level.codes, code), -1)
+                at = np.flatnonzero((shifted >= 0) & (known >= 0))
+                before = np.full(len(symbols), -1, np.int64)
+                before[at] = _found(level.codes, shifted[at] * self.size + known[at])
             yield before
 
     def score(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,6 +259,9 @@ def grow(
         if not len(codes):
             break
         tree.levels.append(Level(codes, np.zeros(len(codes), bool), np.zeros(len(codes))))
+        if n == 0:
+            tree.levels[0].direct = np.full(tree.size + 1, -1, np.int64)
+            tree.levels[0].direct[codes] = np.arange(len(codes))
         shared = spark.sparkContext.broadcast(tree)
         table = stored(_pairs(training, shared, n + 1).filter(F.col("n") >= max(2, tokens * min(next_share, context_share))), "lm-pairs")
         context, symbol, times = (x.astype(np.int64) for x in _arrays(table))
