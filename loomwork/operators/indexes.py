@@ -282,29 +282,31 @@ class GraphIndex:
         """``where``: the walk uses all rows, and only members are returned."""
         import pyarrow as pa
 
-        held = queries.select("id", "v").collect()
-        if sum(len(r.v) for r in held) > vectors.BROADCAST_VALUES:
-            raise ValueError("too many queries for one block; search in parts")
-        ids, block = np.asarray([r.id for r in held]), np.asarray([r.v for r in held], float)
         size, links, beam, encoder = self.size, self.links, self.beam, self.encoder
         member = where if where is not None else F.lit(True)
-        n = max(1, -(-self.rows.count() // self.shard))
-        rows = self.rows.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("s"), F.col("id").cast("long"), F.col("v").cast("array<double>").alias("v"), member.alias("m"))
-
-        def run(table):
+        n, n_asked = (max(1, -(-df.count() // rows)) for df, rows in ((self.rows, self.shard), (queries, 50_000)))
+        each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+        own = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
+        vector = F.col("v").cast("array<double>")
+        rows = self.rows.select(own(n).alias("s"), each(n_asked).alias("a"), F.col("id").cast("long"), vector.alias("v"), member.alias("m"))
+        asked = queries.select(each(n).alias("s2"), own(n_asked).alias("a2"), F.col("id").cast("long").alias("query_id"), vector.alias("q"))
+
+        def run(table, block):
             schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
+            if not table.num_rows or not block.num_rows:
+                return schema.empty_table()
             table = table.sort_by("id").combine_chunks()
             x = _to_matrix(table.column("v"), size)
             if encoder is not None:
                 x = encoder.decode(encoder.encode(x))
-            own, allowed = table.column("id").to_numpy(), table.column("m").to_numpy()
+            ids, allowed = table.column("id").to_numpy(), table.column("m").to_numpy()
             graph, out = Graph(x, links, beam).build(), []
-            for query, q in zip(ids, block, strict=True):
+            for query, q in zip(block.column("query_id").to_numpy(), _to_matrix(block.column("q"), size), strict=True):
                 found = [(d, i) for d, i in graph.search(q, max(width, k), max(width, k)) if allowed[i]][:k]
-                out += [(query, own[i], d) for d, i in found]
+                out += [(query, ids[i], d) for d, i in found]
             return pa.table([list(c) for c in zip(*out, strict=True)], schema=schema) if out else schema.empty_table()
 
-        return vectors.best(rows.groupBy("s").applyInArrow(run, _FOUND), k)
+        return vectors.best(rows.groupBy("s", "a").cogroup(asked.groupBy("s2", "a2")).applyInArrow(run, _FOUND), k)
 
 
 def refined(found: DataFrame, base: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:

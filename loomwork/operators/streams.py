@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -162,17 +163,31 @@ def apply_event(group: Group, entries: list[tuple[int, int]], op: str, consumer:
 
 
 def fold_groups(events: DataFrame) -> DataFrame:
-    """Pending entries that a log of group events leaves, for each (stream, grp); events apply in order of time and id."""
+    """Pending entries that a log of group events leaves, for each (stream, grp); events apply in order of time and id.
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        group, entries = Group(), []
-        for r in rows.sort_values(["at", "ms", "seq"], kind="stable").itertuples():
-            n = None if pd.isna(r.n) else int(r.n)
-            apply_event(group, entries, r.op, r.consumer, int(r.at), int(r.ms), int(r.seq), n)
-        out = [(*key, *e, p.consumer, p.since, p.deliveries) for e, p in sorted(group.pending.items())]
-        return pd.DataFrame(out, columns=["stream", "grp", "ms", "seq", "consumer", "since", "deliveries"])
+    Logs are sorted on disk and streamed; a task holds what is unread and
+    pending in one group at a time.
+    """
 
-    return events.groupBy("stream", "grp").applyInPandas(run, STATE)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, group, entries = None, Group(), []
+
+        def left() -> pd.DataFrame:
+            out = [(*key, *e, p.consumer, p.since, p.deliveries) for e, p in sorted(group.pending.items())] if key else []
+            return pd.DataFrame(out, columns=["stream", "grp", "ms", "seq", "consumer", "since", "deliveries"])
+
+        for rows in batches:
+            for r in rows.itertuples():
+                if (r.stream, r.grp) != key:
+                    yield left()
+                    key, group, entries = (r.stream, r.grp), Group(), []
+                apply_event(group, entries, r.op, r.consumer, int(r.at), int(r.ms), int(r.seq), None if pd.isna(r.n) else int(r.n))
+                if r.op == "read":
+                    entries = [e for e in entries if e > group.cursor]
+        yield left()
+
+    order = ["stream", "grp", "at", "ms", "seq"]
+    return events.repartition("stream", "grp").sortWithinPartitions(*order).mapInPandas(run, STATE)
 
 
 def delivered(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:

@@ -118,9 +118,9 @@ def k_sadd_srem(spark, sf_dir):
 
 @_query("k_sismember", _SETS + "SELECT DISTINCT e.event_type AS key, c_custkey::VARCHAR AS member, s.member IS NOT NULL AS found FROM (SELECT DISTINCT event_type FROM events) e, customer LEFT JOIN s ON s.key = e.event_type AND s.member = c_custkey::VARCHAR")
 def k_sismember(spark, sf_dir):
-    s = _members(spark, sf_dir)
-    asked = s.select("key").distinct().crossJoin(read_table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("member")))
-    return sets.is_member(s, asked)
+    kinds = F.explode(F.array(*[F.lit(k) for k in ("click", "error", "purchase", "signup", "view")]))
+    asked = read_table(spark, sf_dir, "customer").select(kinds.alias("key"), F.col("c_custkey").cast("string").alias("member"))
+    return sets.is_member(_members(spark, sf_dir), asked)
 
 
 @_query("k_zrange_rank", _ZSETS + "SELECT key, member, score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY key ORDER BY score, member) - 1)::INTEGER AS rank FROM z) WHERE rank BETWEEN 3 AND 12")

@@ -84,10 +84,10 @@ def v_knn_cosine(spark, sf_dir):
     return _rounded(vectors.knn(b, b, 10, "cosine"))
 
 
-@_query("v_filtered_knn", _L2 + _top(5, where="(id >= 100 AND id < 300 OR id IN (7, 11, 13)) AND NOT id % 3 = 0"))
+@_query("v_filtered_knn", _L2 + _top(5, where="(id >= 100 AND id < 300 OR id IN (7, 11, 13)) AND NOT id IN (101, 105, 250)"))
 def v_filtered_knn(spark, sf_dir):
     b, s = _base(spark, sf_dir), vectors.Selector
-    members = (s.between(100, 300) | s.batch([7, 11, 13])) & ~s.where(lambda i: i % 3 == 0)
+    members = (s.between(100, 300) | s.batch([7, 11, 13])) & ~s.where(lambda i: i.isin(101, 105, 250))
     return _rounded(vectors.knn(b, b, 5, where=members.condition))
 
 
@@ -154,9 +154,9 @@ def v_sparse_normalized(spark, sf_dir):
     return vectors.sparse_normalized(_terms(spark, sf_dir)).withColumn("val", F.round("val", 6))
 
 
-@_query("v_remove_reconstruct", "SELECT vec_id AS id, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings WHERE vec_id % 2 = 1")
+@_query("v_remove_reconstruct", "SELECT vec_id AS id, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings WHERE NOT vec_id BETWEEN 20 AND 60")
 def v_remove_reconstruct(spark, sf_dir):
-    left = vectors.remove(_base(spark, sf_dir), F.col("id") % 2 == 0)
+    left = vectors.remove(_base(spark, sf_dir), F.col("id").between(20, 60))
     return left.select("id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
@@ -172,10 +172,10 @@ def v_ivf_exact(spark, sf_dir):
     return _rounded(indexes.refined(found, b, b, 10))
 
 
-@_query("v_ivf_filtered", _L2 + _top(5, where="id % 7 = 0"))
+@_query("v_ivf_filtered", _L2 + _top(5, where="id >= 50 AND id < 450"))
 def v_ivf_filtered(spark, sf_dir):
     b, index = _index(spark, sf_dir, "IVF16,Flat")
-    return _rounded(indexes.refined(index.search(b, 15, probes=16, where=F.col("id") % 7 == 0), b, b, 5))
+    return _rounded(indexes.refined(index.search(b, 15, probes=16, where=vectors.Selector.between(50, 450).condition), b, b, 5))
 
 
 @_query("v_list_sizes", "SELECT count(*)::BIGINT AS rows FROM embeddings")

@@ -144,3 +144,13 @@ def test_streaming(spark, tmp_path):
     log.coalesce(1).write.parquet(str(tmp_path / "g"))
     jobs.run_once(jobs.group_pending(spark.readStream.schema(log.schema).parquet(str(tmp_path / "g"))), "pending", str(tmp_path / "c2"), "update")
     assert {tuple(r) for r in spark.table("pending").filter("ms is not null").collect()} == {tuple(r) for r in streams.fold_groups(log).collect()}
+
+
+def test_large_query_sides_are_dealt_in_blocks(base, monkeypatch):
+    want = vectors.knn(base, base, 3).orderBy("query_id", "rank").collect()
+    near = {(r.query_id, r.id) for r in vectors.radius(base, base, 0.2).collect()}
+    monkeypatch.setattr(vectors, "BROADCAST_VALUES", 10)
+    cut = vectors._cut
+    monkeypatch.setattr(vectors, "_cut", lambda table, rows, column: cut(table, 170, column))
+    assert vectors.knn(base, base, 3).orderBy("query_id", "rank").collect() == want
+    assert {(r.query_id, r.id) for r in vectors.radius(base, base, 0.2).collect()} == near
