@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm import text
-from loomwork.session import stored
+from loomwork.session import sized, stored
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 RESULT = (*STATISTICS, "removed_words", "kept")
@@ -131,9 +131,9 @@ def apply_rules(docs: DataFrame, **limits) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, **limits) -> DataFrame:
-    """The input rows that are kept. The rejected ones' ids and hashes are small enough to broadcast, or are joined by shuffle."""
+    """The input rows that are kept. The rejected ones' ids and hashes are broadcast up to a million rows, and joined by shuffle beyond."""
     gone = judged(docs, **limits).filter(~F.col("kept")).select(F.col("doc_id").alias("__doc"), F.col("content").alias("__content"))
-    return docs.join(stored(gone.distinct(), "line-rejected"), _same(), "left_anti")
+    return docs.join(sized(stored(gone.distinct(), "line-rejected")), _same(), "left_anti")
 
 
 def _same() -> Column:

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.session import discard, stored
+from loomwork.session import discard, sized, stored
 
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -339,7 +339,7 @@ def first_of_each(docs: DataFrame, **how) -> DataFrame:
     out = table.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("class_id"))).select("doc_id", "node").distinct()
     out = stored(out.withColumnsRenamed({"doc_id": "__doc", "node": "__gone"}), "near-gone")
     node = F.unhex(F.md5(F.col("text").cast("string").cast("binary")))
-    rest = docs.join(out, (F.col("doc_id") == F.col("__doc")) & (node == F.col("__gone")), "left_anti")
+    rest = docs.join(sized(out), (F.col("doc_id") == F.col("__doc")) & (node == F.col("__gone")), "left_anti")
     repeated = table.filter("doc_id is not null and node is not null").groupBy("doc_id", "node").count().filter("count > 1")
     if repeated.isEmpty():
         return rest
