@@ -22,11 +22,7 @@ _ALL_PLAIN = re.compile(f"[ {_PLAIN}]*")
 _PIECES = re.compile(f" ?[{_LETTERS}]+|\\n(?=[{_LETTERS}])| ?[^{_LETTERS}\\s]+|\\s+[^ ]*")
 #: The same for all texts: what lies between blanks stays whole if any of it isn't plain.
 _MIXED = re.compile(f" ?[{_PLAIN}]*[^ {_PLAIN}][^ ]*|{_PIECES.pattern}")
-
-
-def _plainly_unsafe(text: str) -> bool:
-    """`_UNSAFE` for texts whose only white space is blanks, tabs and line ends."""
-    return text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or " \t" in text
+_INNER_BLANK = re.compile(r".\s|\s\Z", re.DOTALL)
 
 
 def default_vocabulary() -> str:
@@ -38,7 +34,7 @@ def default_vocabulary() -> str:
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids as bytes; keeps at most about ``kept`` pieces."""
 
-    def __init__(self, vocabulary: str, end_id: int | None = None, kept: int = 500_000):
+    def __init__(self, vocabulary: str, end_id: int | None = None, kept: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -46,9 +42,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.end = b"" if end_id is None else end_id.to_bytes(4, "little")
         self.kept = kept
-        #: pieces in two generations: when the younger is full, the older goes, but for what is used again
         self.pieces: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.line_end = int.from_bytes(self._whole(["\n"])[0], "little")
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -57,55 +51,41 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _learn(self, plain: set[str], other: set[str]) -> None:
-        """Encode new pieces, those of plain texts as lines of one text, in which a lone line end is a piece of its own."""
+    def _learn(self, new: list[str]) -> None:
+        """Encode pieces, most of them as lines of one text, in which a lone line end is a piece of its own."""
         import numpy as np
 
-        # pieces of plain texts hold white space only at their start
-        lines = [x for x in plain if x[0] > "\n"]
-        single = [*other, *plain.difference(lines)]
-        self.pieces.update(zip(single, self._whole(single), strict=True))
-        for at in range(0, len(lines), 8192):
-            part = lines[at : at + 8192]
+        lines = [x for x in new if _ALL_PLAIN.fullmatch(x) and not _INNER_BLANK.search(x) and x[0] not in "\n\t"]
+        other = [*set(new).difference(lines)]
+        self.pieces.update(zip(other, self._whole(other), strict=True))
+        for at in range(0, len(lines), 4096):
+            part = lines[at : at + 4096]
             ids = np.frombuffer(self._whole(["\n".join(part)])[0], "<u4")
-            raw = ids.tobytes()
-            ends = (4 * np.flatnonzero(ids == self.line_end)).tolist()
-            slices_ = map(slice, [0, *[x + 4 for x in ends]], [*ends, len(raw)])
-            self.pieces.update(zip(part, map(raw.__getitem__, slices_), strict=True))
+            raw, start = ids.tobytes(), 0
+            for piece, end in zip(part, [*np.flatnonzero(ids == self.line_end).tolist(), len(ids)], strict=True):
+                self.pieces[piece] = raw[4 * start : 4 * end]
+                start = end + 1
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null counts as empty."""
-        if len(self.pieces) > self.kept // 2:
-            self.older, self.pieces = self.pieces, {}
-        known = self.pieces
-        plain: set[str] = set()
-        other: set[str] = set()
+        cut: list[list[str] | None] = []
+        new: set[str] = set()
         whole: list[str] = []
-        found: list[list[bytes | None] | None] = []
-        gaps: list[tuple[list, int, str]] = []
+        known = self.pieces
+        if len(known) > self.kept:
+            known.clear()
         for text in texts:
             if not text:
-                found.append([])
-                continue
-            simple = _ALL_PLAIN.fullmatch(text) and not _plainly_unsafe(text)
-            if not simple and _UNSAFE.search(text):
-                found.append(None)
+                cut.append([])
+            elif _UNSAFE.search(text):
+                cut.append(None)
                 whole.append(text)
-                continue
-            parts = (_PIECES if simple else _MIXED).findall(text)
-            ids = list(map(known.get, parts))
-            if None in ids:
-                new = [(ids, i, parts[i]) for i, x in enumerate(ids) if x is None]
-                (plain if simple else other).update([x[2] for x in new])
-                gaps += new
-            found.append(ids)
-        again = [x for x in (*plain, *other) if x in self.older]
-        known.update(zip(again, map(self.older.__getitem__, again), strict=True))
-        self._learn(plain.difference(again), other.difference(again, plain))
-        for ids, i, part in gaps:
-            ids[i] = known[part]
-        uncut, end = iter(self._whole(whole)), self.end
-        return [next(uncut) + end if ids is None else b"".join(ids) + end for ids in found]
+            else:
+                cut.append((_PIECES if _ALL_PLAIN.fullmatch(text) else _MIXED).findall(text))
+                new.update(set(cut[-1]).difference(known))
+        self._learn([*new])
+        uncut = iter(self._whole(whole))
+        return [next(uncut) + self.end if parts is None else b"".join([*map(known.__getitem__, parts), self.end]) for parts in cut]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
