@@ -1,25 +1,28 @@
 """Scoring texts with a probabilistic suffix tree over words.
 
-Symbols are words (A-Z in lower case) and one end per text. A context of up to
-``depth`` words is a candidate state if its share of all training tokens is at
-least ``context_share``; it is retained if its next-symbol distribution diverges
+Symbols are words (A-Z in lower case) and one end per text. A word that occurs
+twice, or a longer context that occurs four times, is a candidate state whatever
+the size of the corpus; it is retained if its next-symbol distribution diverges
 from that of its longest retained suffix, by count times Kullback-Leibler
-divergence. A state's distribution keeps the symbols whose share of all tokens
-after it is at least ``next_share``, each less a discount, and gives all other
-mass to its suffix state, down to add-one counts of single symbols. Each token
-is scored in the state of the longest retained suffix of what precedes it.
-
-Counting covers every training text. Both shares bound the tree whatever the
-size of the corpus (at most 1 / share entries for each length), so it can be
-broadcast; the counts of all rarer words are never gathered but joined by
-shuffle. Words that could be hot keys are in the tree's alphabet and are scored
-where the text lies, so they are not shuffled.
+divergence. A state's distribution keeps the symbols seen at least twice after
+it, each less a discount, and gives all other mass to its suffix state, down to
+add-one counts of single symbols. Each token is scored in the state of the
+longest retained suffix of what precedes it.
+
+Counting covers every training text, and the tree grows with the corpus: it is
+held in tables of the shared folder, built by joins, and never gathered. A
+text's score is a sum over its grams of one to ``depth`` + 1 words, as each
+transition is a value to be added to what shorter grams say, and each state's
+escape is added once for every token after it. Only grams with at least
+``next_share`` of all tokens (at most 1 / share for each length) are broadcast
+and scored where the text lies, as they could be hot keys; all others are joined
+by shuffle, but for those that a fixed-size filter shows to be in no table.
 
 Defined results: a null or empty text is its end token; rows with a null id are
 scored, not learnt from, and not held out; repeated rows are scored each and, if
 in training, counted each; without training texts all counts are 0; an empty
-table gives no rows; further columns are ignored. Words are known by 64-bit
-hashes.
+table gives no rows; further columns are ignored. Words and grams are known by
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -34,11 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.tokens import slices
-from loomwork.session import stored
+from loomwork.session import discard, stored
 
 #: No word holds a line end, so this stands for the end of a text.
 _END = b"\n"
 _HELD = 250_000
+#: Bits of the filter of grams, as a power of 2.
+_FILTER = 28
+#: The least count of a word and of a longer context, and of a kept next symbol.
+_LEAST_WORD, _LEAST_CONTEXT, _LEAST_NEXT = 2, 4, 2
 
 
 def _words(body: str | None) -> list[bytes]:
@@ -238,17 +245,15 @@ def grow(
     words: DataFrame,
     *,
     depth: int = 2,
-    context_share: float = 2e-6,
-    next_share: float = 5e-7,
     evidence: float = 8.0,
     discount: float = 0.5,
 ) -> Tree:
-    """Learn the tree level by level; each level is one pass over the training texts."""
+    """The tree of `tables` gathered on the driver, for looking at small corpora; scoring does not use it."""
     spark = training.sparkSession
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("kinds")).first()
     tokens, kinds = int(totals.tokens), int(totals.kinds)
     end = int(hashes_of([_END])[0])
-    frequent = words.filter((F.col("n") >= max(2, tokens * context_share)) | (F.col("word") == end))
+    frequent = words.filter((F.col("n") >= _LEAST_WORD) | (F.col("word") == end))
     hashes, counts = _arrays(frequent.orderBy("word"))
     tree = Tree(hashes.astype(np.int64), counts.astype(np.int64), tokens, kinds)
     last = int(_found(tree.hashes, np.array([end]))[0])
@@ -263,14 +268,13 @@ def grow(
             tree.levels[0].direct = np.full(tree.size + 1, -1, np.int64)
             tree.levels[0].direct[codes] = np.arange(len(codes))
         shared = spark.sparkContext.broadcast(tree)
-        table = stored(_pairs(training, shared, n + 1).filter(F.col("n") >= max(2, tokens * min(next_share, context_share))), "lm-pairs")
+        table = stored(_pairs(training, shared, n + 1).filter(F.col("n") >= _LEAST_NEXT), "lm-pairs")
         context, symbol, times = (x.astype(np.int64) for x in _arrays(table))
         shared.unpersist()
         order = np.lexsort((symbol, context))
         context, symbol, times = context[order], symbol[order], times[order]
-        enough = times >= max(2, tokens * next_share)
         level = tree.levels[-1]
-        c, s, t = context[enough], symbol[enough], times[enough]
+        c, s, t = context, symbol, times
         own = (t - discount) / totals_[c]
         escape = np.maximum(1 - np.bincount(c, own, len(codes)), 1e-12)
         parent = tree.probability(context_words[c][:, ::-1], s, n)
@@ -280,53 +284,219 @@ def grow(
         level.pairs = c * tree.size + s
         level.logs = np.log10(own + escape[c] * parent)
         # contexts that are one word longer: those frequent enough as a whole
-        longer = (times >= max(4, tokens * context_share)) & (symbol != last)
+        longer = (times >= _LEAST_CONTEXT) & (symbol != last)
         codes = context[longer] * tree.size + symbol[longer]
         totals_ = times[longer]
         context_words = np.hstack([context_words[context[longer]], symbol[longer][:, None]])
     return tree
 
 
-def score(docs: DataFrame, training: DataFrame, **growth) -> DataFrame:
-    """The row's id and content hash, n_tokens, n_known, train_tokens, base_score and score of every input row."""
+def _mixed(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Key of a gram, from those of the grams without its last and without its first word."""
+    x = first.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + last.view(np.uint64)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
+def _longer(keys: np.ndarray) -> np.ndarray:
+    """Keys of the grams one word longer that end at each place but the first."""
+    return _mixed(keys[:-1], keys[1:])
+
+
+def _places(starts: np.ndarray, n: int) -> np.ndarray:
+    """How many words of its text precede each word."""
+    return np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+
+
+class Hashes:
+    """Hashes of words, with a bounded number of words at hand."""
+
+    def __init__(self, kept: int = 300_000):
+        self.kept, self.held = kept, {}
+
+    def read(self, bodies: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words of some texts, and where each text begins."""
+        words, starts = [], []
+        for body in bodies:
+            starts.append(len(words))
+            words += _words(body)
+        if len(self.held) > self.kept:
+            self.held.clear()
+        new = [*set(words).difference(self.held)]
+        self.held.update(zip(new, hashes_of(new).tolist(), strict=True))
+        return np.fromiter(map(self.held.__getitem__, words), np.int64, len(words)), np.asarray(starts, np.int64)
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """A bit for the highest bits of each key; its size is fixed, so a large table only makes it let more through."""
+    place = F.shiftrightunsigned("key", 64 - _FILTER)
+    parts = keys.groupBy(F.shiftrightunsigned(place, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))).alias("bits"))
+    at, bits = _arrays(parts)
+    out = np.zeros(1 << (_FILTER - 6), np.int64)
+    out[at] = bits
+    return out.view(np.uint64)
+
+
+def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys.view(np.uint64) >> np.uint64(64 - _FILTER)
+    return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _grams(training: DataFrame, length: int, contexts, suffixes) -> DataFrame:
+    """(pre, suf, n): counts of the grams of some words whose first and last parts may be in the tables below."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        table, held, size = Hashes(), [], 0
+
+        def rows():
+            pre, suf, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((suf, pre))
+            pre, suf, n = pre[order], suf[order], n[order]
+            first = np.flatnonzero(np.r_[True, (pre[1:] != pre[:-1]) | (suf[1:] != suf[:-1])])
+            return pa.RecordBatch.from_arrays([pa.array(pre[first]), pa.array(suf[first]), pa.array(np.add.reduceat(n, first))], ["pre", "suf", "n"])
+
+        for batch in (x for b in batches for x in slices(b, 512)):
+            keys, starts = table.read(batch.column(0).to_pylist())
+            use = _places(starts, len(keys))[length - 1 :] >= length - 1
+            for _ in range(length - 2):
+                keys = _longer(keys)
+            pre, suf = keys[:-1][use], keys[1:][use]
+            if contexts is not None:
+                use = _passes(contexts.value, pre) & _passes(suffixes.value, suf)
+                pre, suf = pre[use], suf[use]
+            if len(pre):
+                held.append((pre, suf, np.ones(len(pre), np.int64)))
+                size += len(pre)
+            if size > 1_000_000:
+                yield rows()
+                held, size = [], 0
+        if held:
+            yield rows()
+
+    def keyed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            keys = _mixed(b.column(0).to_numpy(), b.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *b.columns], ["key", "pre", "suf", "n"])
+
+    parts = training.select(F.col("text").cast("string")).mapInArrow(run, "pre long, suf long, n long")
+    counts = parts.groupBy("pre", "suf").agg(F.sum("n").alias("n")).filter(F.col("n") >= _LEAST_NEXT)
+    return stored(counts.mapInArrow(keyed, "key long, pre long, suf long, n long"), "lm-counts")
+
+
+def tables(training: DataFrame, words: DataFrame, tokens: int, kinds: int, *, depth: int = 2, evidence: float = 8.0, discount: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """The tree as (word, n, escape) of all words, and (key, n, value) of the longer grams.
+
+    Each length is one pass over the training texts and joins of tables. A
+    transition's suffix is always a transition below, as it occurs at least as often.
+    """
+    spark = training.sparkSession
+    least = _LEAST_WORD
+    below = words.filter(F.col("n") >= least).select(F.col("word").alias("key"), "n", ((F.col("n") + 1) / (tokens + kinds + 1)).alias("p"), F.lit(0.0).alias("delta"))
+    levels, shared = [], []
+    for length in range(2, depth + 2):
+        if length > 2:
+            shared = [spark.sparkContext.broadcast(_filter(below.filter(F.col("n") >= least))), spark.sparkContext.broadcast(_filter(below))]
+        counts = _grams(training, length, *(shared or (None, None)))
+        contexts = below.filter(F.col("n") >= least).select(F.col("key").alias("pre"), F.col("n").alias("total"))
+        rows = counts.join(contexts, "pre").join(below.select(F.col("key").alias("suf"), F.col("p").alias("parent")), "suf")
+        rows = stored(rows.select("key", "pre", "n", "total", "parent"), "lm-grams")
+        for x in shared:
+            x.unpersist()
+        discard(counts)
+        own = (F.col("n") - discount) / F.col("total")
+        gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("parent")))
+        states = rows.groupBy("pre").agg(gain.alias("gain"), F.greatest(1 - F.sum(own), F.lit(1e-12)).alias("escape"))
+        states = stored(states.filter(F.col("gain") >= evidence).select("pre", "escape"), "lm-states")
+        p = F.coalesce(own + F.col("escape") * F.col("parent"), F.col("parent"))
+        delta = F.coalesce(F.log10(own + F.col("escape") * F.col("parent")) - F.log10("escape") - F.log10("parent"), F.lit(0.0))
+        levels.append((below, states))
+        below = stored(rows.join(states, "pre", "left").select("key", "n", p.alias("p"), delta.alias("delta")), "lm-level")
+        discard(rows)
+        least = _LEAST_CONTEXT
+    escapes = lambda states, key: states.select(F.col("pre").alias(key), F.log10("escape").alias("escape"))
+    levels.append((below, None))
+    values = None
+    for level, states in levels[1:]:
+        if states is not None:
+            level = level.join(escapes(states, "key"), "key", "left").withColumn("delta", F.col("delta") + F.coalesce("escape", F.lit(0.0)))
+        level = level.select("key", "n", F.col("delta").alias("value")).filter(F.col("value") != 0)
+        values = level if values is None else values.unionByName(level)
+    known = words.join(escapes(levels[0][1], "word"), "word", "left").withColumn("escape", F.coalesce("escape", F.lit(0.0))) if depth else words.withColumn("escape", F.lit(0.0))
+    if values is None:
+        values = spark.createDataFrame([], "key long, n long, value double")
+    return stored(known, "lm-known"), stored(values, "lm-values")
+
+
+def score(docs: DataFrame, training: DataFrame, *, depth: int = 2, context_share: float = 2e-6, next_share: float = 5e-7, **growth) -> DataFrame:
+    """The row's id and content hash, n_tokens, n_known, train_tokens, base_score and score of every input row.
+
+    The shares bound what is broadcast, of words and of longer grams, and have no effect on scores.
+    """
+    spark = docs.sparkSession
     words = counted(training)
-    tree = grow(training, words, **growth)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("kinds")).first()
+    tokens, kinds = int(totals.tokens), int(totals.kinds)
+    words, values = tables(training, words, tokens, kinds, depth=depth, **growth)
+    floor = float(np.log10(tokens + kinds + 1))
+    often = F.col("n") >= max(2, tokens * next_share)
+    frequent = words.filter((F.col("n") >= max(2, tokens * context_share)) | (F.col("word") == int(hashes_of([_END])[0])))
+    alphabet, counts, escapes = _arrays(frequent.orderBy("word"))
+    keys, _, gains = _arrays(values.filter(often).orderBy("key"))
+    seldom = values.filter(~often).select("key", "value")
+    shared = spark.sparkContext.broadcast((alphabet, np.log10(counts + 1) - floor, escapes, keys, gains, _filter(seldom)))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        own = shared.value
-        table = Symbols(own.hashes)
+        alphabet, roots, escapes, keys, gains, bits = shared.value
+        table = Hashes()
         for batch in (x for b in batches for x in slices(b, 512)):
-            words, symbols, starts = table.read(batch.column(2).to_pylist())
+            gram, starts = table.read(batch.column(2).to_pylist())
             if not len(starts):
                 continue
-            known = symbols >= 0
-            total, open_ = own.score(symbols)
-            base = np.zeros(len(symbols))
-            base[known] = own.root(symbols[known])
-            total += np.where(open_, base, 0)
-            seen = np.zeros(len(symbols), np.int64)
-            seen[known] = own.counts[symbols[known]] > 0
-            rare = np.flatnonzero(~known)
-            keys = hashes_of([words[i] for i in rare.tolist()])
-            offsets = np.concatenate([np.searchsorted(rare, starts), [len(rare)]]).astype(np.int32)
-            sums = [pa.array(np.add.reduceat(x, starts)) for x in (seen, base, total)]
-            sizes = pa.array(np.diff(np.concatenate([starts, [len(words)]])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, *sums, pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))], names)
-
-    names = ["row", "doc_id", "n_tokens", "known", "base", "own", "words"]
+            n = len(gram)
+            before, text = _places(starts, n), np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+            place = _found(alphabet, gram)
+            known = place >= 0
+            base, own = np.zeros(n), np.zeros(n)
+            base[known] = roots[place[known]]
+            own[known] = base[known] + escapes[place[known]]
+            asked, owner = [], []
+            rare = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(np.flatnonzero(~known), starts), (~known).sum()).astype(np.int32)), pa.array(gram[~known]))
+            for length in range(2, depth + 2):
+                gram = _longer(gram)
+                at = np.flatnonzero(before >= length - 1)
+                key = gram[at - length + 1]
+                place = _found(keys, key)
+                hit = place >= 0
+                own[at[hit]] += gains[place[hit]]
+                more = ~hit & _passes(bits, key)
+                asked.append(key[more])
+                owner.append(text[at[more]])
+            asked, owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (asked, owner))
+            order = np.argsort(owner, kind="stable")
+            ends = np.append(0, np.cumsum(np.bincount(owner, minlength=len(starts)))).astype(np.int32)
+            grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(asked[order]))
+            sums = [pa.array(np.add.reduceat(x, starts)) for x in (known.astype(np.int64), base, own)]
+            sizes = pa.array(np.diff(np.append(starts, n)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, *sums, rare, grams], names)
+
+    names = ["row", "doc_id", "n_tokens", "known", "base", "own", "words", "grams"]
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    kinds = "row long, doc_id long, n_tokens long, known long, base double, own double, words array<long>"
-    table = stored(source.mapInArrow(run, kinds), "lm-rows")
-    floor = float(np.log10(tree.tokens + tree.kinds + 1))
-    rare = table.select("row", F.explode("words").alias("word"))
-    rare = rare.join(words, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    part = F.sum(F.log10(F.col("n") + 1) - floor)
-    sums = rare.groupBy("row").agg(part.alias("rare"), F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("more"))
+    kinds_ = "row long, doc_id long, n_tokens long, known long, base double, own double, words array<long>, grams array<long>"
+    table = stored(source.mapInArrow(run, kinds_), "lm-rows")
+    rare = table.select("row", F.explode("words").alias("word")).join(words, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    root = F.log10(F.col("n") + 1) - floor
+    rare = rare.select("row", root.alias("rare"), F.when(F.col("n") > 0, 1).otherwise(0).alias("more"), (root + F.coalesce("escape", F.lit(0.0))).alias("added"))
+    grams = table.select("row", F.explode("grams").alias("key")).join(seldom, "key")
+    grams = grams.select("row", F.lit(0.0).alias("rare"), F.lit(0).alias("more"), F.col("value").alias("added"))
+    sums = rare.unionByName(grams).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("rare", "more", "added")])
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return table.drop("words").join(sums, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("known") + zero("more")).cast("long").alias("n_known"), F.lit(tree.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("rare")).alias("base_score"), (F.col("own") + zero("rare")).alias("score"),
+    return table.drop("words", "grams").join(sums, "row", "left").select(
+        "doc_id", "n_tokens", (F.col("known") + zero("more")).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + zero("rare")).alias("base_score"), (F.col("own") + zero("added")).alias("score"),
     )

@@ -115,6 +115,23 @@ def test_distributions_sum_to_one(spark):
             assert p.sum() + escape * rest == pytest.approx(1, abs=1e-6)
 
 
+@pytest.mark.parametrize("share", [5e-7, 1e-3])
+def test_suffix_scores_use_every_state_of_the_tree(spark, share):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = suffix_model.score(docs, docs, context_share=share, next_share=share).collect()
+    tree = suffix_model.grow(docs, suffix_model.counted(docs))
+    table = suffix_model.Symbols(tree.hashes)
+    want = []
+    for r in docs.collect():
+        symbols = table.read([r.text])[1]
+        total, open_ = tree.score(symbols)
+        root = np.where(symbols >= 0, tree.root(symbols), np.log10(2 / (tree.tokens + tree.kinds + 1)))
+        want.append((r.doc_id, (total + np.where(open_, root, 0)).sum()))
+    got = sorted((r.doc_id, r.score) for r in rows)
+    assert [g[0] for g in got] == [w[0] for w in sorted(want)]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in sorted(want)], rel=1e-9)
+
+
 def test_suffix_scores_of_empty_tables(spark, odd, empty):
     assert suffix_model.score(empty, empty).count() == 0
     rows = suffix_model.score(odd, empty).collect()
