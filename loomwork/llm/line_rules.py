@@ -3,10 +3,10 @@
 Lines are normalised and hashed; for each host the operator counts the distinct
 documents that hold a line, takes lines above the limit out, and rejects
 documents of which too little is left. Copies of one document don't count as
-distinct: a document is known, for this count, by the least and the greatest of
-its line hashes, which copies and most near copies share and unrelated documents
-with a line in common don't. A clean text is thus not rejected for having been
-copied, however often.
+distinct: a document is known, for this count, by a hash of all its normalised
+lines in order, so a clean text is not rejected for having been copied, however
+often, and documents that differ in any line, or in their order or number, count
+each.
 
 DataFrame code throughout. Texts are read once, into a slim table of statistics
 and (line hash, words) pairs; everything after works on that table.
@@ -107,10 +107,8 @@ def judged(
     ``least_left``: per cent of a document's words that must be left.
     """
     slim = measured(docs, host=host, min_words=min_words, most_repeated=most_repeated)
-    keyed = slim.select(
-        "__row", "host", "lines", F.array_min("lines.line").alias("least"), F.array_max("lines.line").alias("greatest"),
-    )
-    distinct = keyed.select("host", "least", "greatest", F.explode(F.array_distinct("lines.line")).alias("line"))
+    keyed = slim.select("__row", "host", "lines", F.xxhash64("lines.line").alias("whole"))
+    distinct = keyed.select("host", "whole", F.explode(F.array_distinct("lines.line")).alias("line"))
     counts = distinct.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"))
     common = stored(counts.filter(F.col("docs") > most_docs).select(F.col("host").alias("__h"), F.col("line").alias("__l")), "line-common")
     flat = keyed.select("__row", "host", F.explode("lines").alias("x")).select("__row", "host", "x.line", "x.words")

@@ -51,6 +51,17 @@ def test_common_lines_deplete_but_copies_do_not(spark):
     assert all(kept[1000 + d] for d in range(60)) and kept[2000] and kept[3000]
 
 
+def test_documents_that_share_their_extreme_lines_count_each(spark):
+    template = [" ".join(word(i, j, 3) for j in range(6)) for i in range(10)]
+    pages = [(d, "\n".join([*template, " ".join(word(d, j, 4) for j in range(20))]), "h") for d in range(60)]
+    # only common lines, in another order each
+    pages += [(1000 + d, "\n".join(" ".join(word(i, j, 5) for j in range(6)) for i in (*range(d % 30, 30), *range(d % 30))), "g") for d in range(30)]
+    df = spark.createDataFrame(pages, "doc_id long, text string, source string")
+    rows = line_rules.judged(df).collect()
+    assert {(r.removed_words, r.kept) for r in rows if r.doc_id < 1000} == {(60, False)}
+    assert {(r.removed_words, r.kept) for r in rows if r.doc_id >= 1000} == {(180, False)}
+
+
 def test_mixing_odd_rows(spark, odd, empty):
     rows = mixing.mix(odd).collect()
     assert len(rows) == odd.count()
