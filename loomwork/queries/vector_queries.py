@@ -154,6 +154,28 @@ def v_sparse_normalized(spark, sf_dir):
     return vectors.sparse_normalized(_terms(spark, sf_dir)).withColumn("val", F.round("val", 6))
 
 
+_ALL_WORDS = _WORDS.replace("[a-z]{9,}", r"[^\x20\x09-\x0D]+")
+
+
+def _all_terms(spark, sf_dir) -> DataFrame:
+    """Counts of all words of every document, in lower case and parted by blanks, as sparse vectors."""
+    d = read_table(spark, sf_dir, "documents")
+    words = d.select(F.col("doc_id").alias("id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x20\x09-\x0D]+"), 0)).alias("dim"))
+    return words.groupBy("id", "dim").agg(F.count(F.lit(1)).cast("double").alias("val"))
+
+
+@_query("v_sparse_ip_words")
+def v_sparse_ip_words(spark, sf_dir):
+    """As v_sparse_ip, over whole texts; tested by brute force, as SQL is too slow on the larger tables."""
+    w = _all_terms(spark, sf_dir)
+    return vectors.sparse_search(w, w, 3)
+
+
+@_query("v_sparse_normalized_words", _ALL_WORDS + "SELECT id, dim, round(val / sqrt(sum(val * val) OVER (PARTITION BY id)), 6) AS val FROM w")
+def v_sparse_normalized_words(spark, sf_dir):
+    return vectors.sparse_normalized(_all_terms(spark, sf_dir)).withColumn("val", F.round("val", 6))
+
+
 @_query("v_remove_reconstruct", "SELECT vec_id AS id, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings WHERE NOT vec_id BETWEEN 20 AND 60")
 def v_remove_reconstruct(spark, sf_dir):
     left = vectors.remove(_base(spark, sf_dir), F.col("id").between(20, 60))

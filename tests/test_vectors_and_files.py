@@ -154,3 +154,21 @@ def test_large_query_sides_are_dealt_in_blocks(base, monkeypatch):
     monkeypatch.setattr(vectors, "_cut", lambda table, rows, column: cut(table, 170, column))
     assert vectors.knn(base, base, 3).orderBy("query_id", "rank").collect() == want
     assert {(r.query_id, r.id) for r in vectors.radius(base, base, 0.2).collect()} == near
+
+
+def test_sparse_vectors_hold_all_words(spark, tmp_path):
+    from collections import Counter
+
+    from loomwork.queries import catalog
+
+    texts = {1: "A bee a\tcafé", 2: "bee BEE on\na café", 3: "ok", 4: "", 5: None, 6: "an ok naïve bee"}
+    spark.createDataFrame([*texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = {i: Counter((t or "").lower().split()) for i, t in texts.items()}
+    want = []
+    for q, mine in words.items():
+        scores = sorted((-sum(n * other[w] for w, n in mine.items()), b) for b, other in words.items() if mine.keys() & other.keys())
+        want += [(q, rank, b, -s) for rank, (s, b) in enumerate(scores[:3], 1)]
+    got = catalog.QUERIES["v_sparse_ip_words"](spark, str(tmp_path)).select("query_id", "rank", "id", "distance").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    held = catalog.QUERIES["v_sparse_normalized_words"](spark, str(tmp_path)).collect()
+    assert Counter((r.id, r.dim) for r in held) == Counter((i, w) for i, c in words.items() for w in c)
