@@ -197,6 +197,16 @@ def d_schemaless_order(spark, sf_dir):
     return db.query("SELECT TOINT(event_id) AS event_id FROM events ORDER BY props.k, event_id LIMIT 3000")
 
 
+@_query(
+    "d_schemaless_order_all",
+    _EVENT_DOCS + "SELECT event_id FROM docs ORDER BY CASE WHEN absent THEN 0 WHEN nul THEN 1 ELSE 2 END, CASE WHEN absent OR nul THEN 0 ELSE k END, event_id",
+)
+def d_schemaless_order_all(spark, sf_dir):
+    """As d_schemaless_order, for the whole table."""
+    db = D.Database(spark, events=events_as_documents(spark, sf_dir))
+    return db.query("SELECT TOINT(event_id) AS event_id FROM events ORDER BY props.k, event_id")
+
+
 @_query(
     "d_schemaless_null_comparisons",
     _EVENT_DOCS + "SELECT event_id, nul AS is_null, CASE WHEN absent THEN NULL ELSE nul END AS eq_null, CASE WHEN absent THEN NULL WHEN nul THEN NULL ELSE k < 10 END AS lt, "

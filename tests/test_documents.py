@@ -143,3 +143,13 @@ def test_typed_plan_pushes_filters_down(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(a,90)" in plan and "In(a, [91,95])" in plan and "ReadSchema: struct<a:bigint>" in plan
     assert df.count() == 2
+
+
+def test_missing_null_and_values_are_all_ordered(spark, duck):
+    from helpers import DATA
+
+    from loomwork.queries import catalog
+
+    want = [r[0] for r in duck.execute(catalog.SQL["d_schemaless_order_all"]).fetchall()]
+    assert len(want) == spark.read.parquet(f"{DATA}/events.parquet").count()
+    assert [r.event_id for r in catalog.QUERIES["d_schemaless_order_all"](spark, str(DATA)).collect()] == want
