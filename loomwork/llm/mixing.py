@@ -2,9 +2,11 @@
 
 The mix is counted in blocks of equally many words. Sources receive blocks by
 highest quotients target / (2k - 1), k = 1, 2, ..., which gives every source an
-integer quota for each output shard. Each source lays its documents out in a
-seeded order; its blocks are drawn from that order, starting over when all are
-used. A document's taken words are those of its blocks that were drawn.
+integer quota. `quotas` splits it over output shards, but the mix uses only the
+total of all shards: no document or block is given a shard. Each source lays its
+documents out in a seeded order; its blocks are drawn from that order, starting
+over when all are used. A document's taken words are those of its blocks that
+were drawn.
 
 All of it is DataFrame code. Texts are never shuffled: finding where a source's
 draws end takes two levels of at most 1,024 sums per source over a slim table,
