@@ -352,9 +352,10 @@ class Pipeline:
 def factory(name: str, rows: DataFrame, *, metric: str = "l2", most: int = 65_536, seed: int = 1234) -> Pipeline:
     """An index by name, as in ``OPQ16,IVF256,PQ16,RFlat``: fitted on a sample of (id, v), filled with all rows.
 
-    Transforms: PCAn, PCAWn, OPQm, RRn, L2norm. Cells: IVFn, IVFn_HNSWm, IMI2xb.
+    Transforms: PCAn, PCAWn, OPQm, RRn, L2norm. Cells: IVFn, IMI2xb.
     Codes: Flat, PQm[xb], SQ8, SQ4, SQfp16, RQm[xb], LSQm[xb]. Graphs: HNSWm.
     Last: RFlat or Refine(Flat). IDMap in front says that ids are the caller's.
+    Other parts, as IVFn_HNSWm and Refine of codes, are not built and raise.
     """
     x = Q.sample(rows, most, seed)
     transforms: list = []
@@ -383,14 +384,14 @@ def factory(name: str, rows: DataFrame, *, metric: str = "l2", most: int = 65_53
         elif part == "L2norm":
             transforms.append("norm")
             x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        elif m := re.fullmatch(r"IVF(\d+)(?:_HNSW\d+)?", part):
+        elif m := re.fullmatch(r"IVF(\d+)", part):
             coarse = Centroids(Q.kmeans(x, int(m[1]), seed=seed))
         elif m := re.fullmatch(r"IMI2x(\d+)", part):
             half = x.shape[1] // 2
             coarse = MultiIndex((Q.kmeans(x[:, :half], 1 << int(m[1]), seed=seed), Q.kmeans(x[:, half:], 1 << int(m[1]), seed=seed)))
         elif m := re.fullmatch(r"HNSW(\d+)", part):
             graph = int(m[1])
-        elif part == "RFlat" or re.fullmatch(r"Refine\(.+\)", part):
+        elif part in ("RFlat", "Refine(Flat)"):
             refine = True
         elif part == "Flat":
             flat = True

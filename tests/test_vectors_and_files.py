@@ -56,6 +56,16 @@ def test_unknown_parts_raise(base):
         indexes.factory("L2norm", base)
 
 
+@pytest.mark.parametrize("name", ["IVF8_HNSW4,Flat", "IVF8,SQ8,Refine(SQ8)"])
+def test_parts_that_are_not_built_raise(base, name):
+    with pytest.raises(ValueError):
+        indexes.factory(name, base)
+
+
+def test_exact_refinement_by_either_name(base):
+    assert indexes.factory("SQ8,Refine(Flat)", base).refine and indexes.factory("SQ8,RFlat", base).refine
+
+
 def test_filtered_search_returns_members_only(base):
     s = vectors.Selector
     chosen = s.bitmap(bytes([0b1010])) | s.between(500, 520)
