@@ -51,50 +51,43 @@ def repeated_words(words: Column) -> Column:
 
     def counted(hashes: Column) -> Column:
         placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(bound(placed, covered))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(text.bound(placed, covered))
 
     windows = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
-    return F.when(F.size(words) < 3, 0).otherwise(bound(windows, counted)).cast("long")
+    return F.when(F.size(words) < 3, 0).otherwise(text.bound(windows, counted)).cast("long")
 
 
-def bound(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, as Catalyst would else copy it into each use."""
-    return F.transform(F.array(value), body)[0]
-
-
-def normalised(line: Column) -> Column:
-    """Lower case, digits as 0, white space squeezed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text.blanks_to_spaces(line)), "[0-9]+", "0"), " +", " "))
-
-
-def line_hash(line: Column) -> Column:
-    """60 bits of the md5 of a normalised line."""
-    return F.conv(F.substring(F.md5(line.cast("binary")), 1, 15), 16, 10).cast("long")
+def normalised(body: Column) -> Column:
+    """A text in lower case, with digits as 0 and the white space of its lines squeezed; lines are still to be trimmed."""
+    return text.squeezed_lines(F.regexp_replace(F.lower(body), "[0-9]+", "0"))
 
 
 def measured(docs: DataFrame, *, host: str, min_words: int, most_repeated: int) -> DataFrame:
-    """One slim row per input row: id, content hash, host, statistics, base_failed, and its distinct lines."""
-    body = F.col("__body")
+    """One slim row per input row: id, content hash, host, statistics, base_failed, and its lines with a word."""
     rows = docs.select("doc_id", F.col(host).alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__body"))
-    of_words = bound(text.word_array(body), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("repeats")))
-    with_word = F.filter(F.split(body, "\n"), lambda x: F.length(F.trim(text.blanks_to_spaces(x))) > 0)
-    hashed = lambda x: F.struct(line_hash(normalised(x)).alias("line"), F.size(text.word_array(x)).alias("words"))
-    of_lines = bound(
-        with_word,
-        lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dups"), F.transform(x, hashed).alias("lines")),
-    )
+    body = F.col("__body")
+
+    def of_words(plain: Column) -> Column:
+        words = F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+        n = text.spaced_words(plain)
+        chars = F.when(plain == "", 0).otherwise(F.length(plain) - n + 1).cast("long")
+        return F.struct(n.alias("n"), chars.alias("chars"), text.bound(words, repeated_words).alias("repeats"))
+
+    with_word = F.filter(F.split(body, "\n"), lambda x: x.rlike(text.WORD))
+    dups = text.bound(with_word, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+    lines = F.filter(F.transform(F.split(normalised(body), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     out = rows.select(
-        "doc_id", F.xxhash64(body).alias("content"), "host", of_words.alias("w"), of_lines.alias("l"),
-        F.length(F.translate(body, text.BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length(body) - F.length(F.translate(body, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        "doc_id", F.xxhash64(body).alias("content"), "host", text.bound(text.squeezed(body), of_words).alias("w"), dups.alias("dups"),
+        F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), text.spaced_words(x).alias("words"))).alias("lines"),
+        (F.length(body) - F.length(F.regexp_replace(body, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         F.monotonically_increasing_id().alias("__row"),
     )
-    # The structs are written before they are taken apart, so each is computed once.
+    # The struct is written before it is taken apart, so it is computed once.
     out = stored(out, "line-stats")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     return out.select(
-        "__row", "doc_id", "content", "host", F.col("w.n").alias("n_words"), "word_chars", "n_symbols",
-        F.col("l.dups").alias("n_dup_lines"), F.col("w.repeats").alias("n_repeat_words"), F.col("l.lines").alias("lines"),
+        "__row", "doc_id", "content", "host", F.col("w.n").alias("n_words"), F.col("w.chars").alias("word_chars"), "n_symbols",
+        F.col("dups").alias("n_dup_lines"), F.col("w.repeats").alias("n_repeat_words"), "lines",
     ).withColumn("base_failed", failed)
 
 

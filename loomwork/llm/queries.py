@@ -109,14 +109,14 @@ windows AS (
   FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM windows) WHERE n > 1),
 repeated AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY r),
-raw AS (SELECT r, host, unnest(parts) AS line FROM w),
+raw AS (SELECT r, host, i, parts[i] AS line FROM (SELECT r, host, parts, unnest(range(1, len(parts) + 1)) AS i FROM w)),
 lines AS (
-  SELECT r, host, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
-         ('0x' || substr(md5(trim(regexp_replace(regexp_replace(lower(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    ')), '[0-9]+', '0', 'g'), ' +', ' ', 'g'))), 1, 15))::BIGINT AS k
+  SELECT r, host, i, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+         trim(regexp_replace(regexp_replace(lower(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    ')), '[0-9]+', '0', 'g'), ' +', ' ', 'g')) AS k
   FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dups AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r),
-ends AS (SELECT *, min(k) OVER (PARTITION BY r) AS lo, max(k) OVER (PARTITION BY r) AS hi FROM lines),
-common AS (SELECT host, k FROM (SELECT DISTINCT host, k, lo, hi FROM ends) GROUP BY host, k HAVING count(*) > 20),
+whole AS (SELECT r, md5(string_agg(k, chr(10) ORDER BY i)) AS id FROM lines GROUP BY r),
+common AS (SELECT host, k FROM lines JOIN whole USING (r) GROUP BY host, k HAVING count(DISTINCT id) > 20),
 removed AS (
   SELECT r, sum(n) AS n FROM lines l JOIN common c ON l.k = c.k AND l.host IS NOT DISTINCT FROM c.host GROUP BY r),
 stats AS (

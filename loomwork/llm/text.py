@@ -9,22 +9,42 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLANKS = " \t\n\x0b\x0c\r"
+#: Runs of blanks other than a single space.
+_WIDE = r" [ \t-\r]+|[\t-\r][ \t-\r]*"
+#: The same within a line.
+_WIDE_IN_LINE = r"[ \t\x0b\f\r]{2,}|[\t\x0b\f\r]"
+#: A character of a word.
+WORD = r"[^ \t-\r]"
 
 
-def blanks_to_spaces(text: Column) -> Column:
-    return F.translate(text, "\t\n\x0b\x0c\r", "     ")
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, as Catalyst would else copy it into each use."""
+    return F.transform(F.array(value), body)[0]
+
+
+def squeezed(text: Column) -> Column:
+    """The text's words with single spaces between; null stays null."""
+    return F.trim(F.regexp_replace(text, _WIDE, " "))
+
+
+def squeezed_lines(text: Column) -> Column:
+    """The text with the blanks of each line made single spaces; line ends stay."""
+    return F.regexp_replace(text, _WIDE_IN_LINE, " ")
+
+
+def spaced_words(plain: Column) -> Column:
+    """Number of words of a squeezed text."""
+    return F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "))) + 1).cast("long")
 
 
 def word_array(text: Column) -> Column:
     """All words of a text in order; null gives an empty array."""
-    plain = F.trim(blanks_to_spaces(F.coalesce(text, F.lit(""))))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " +"))
+    return bound(squeezed(F.coalesce(text, F.lit(""))), lambda plain: F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " ")))
 
 
 def word_count(text: Column) -> Column:
     """Number of words as a long; null gives 0."""
-    return F.size(word_array(text)).cast("long")
+    return bound(squeezed(F.coalesce(text, F.lit(""))), spaced_words)
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:
