@@ -37,6 +37,9 @@ from loomwork.session import discard, sized, stored
 
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
+#: Ticks of time that an exponential gap of mean 1 has on average.
+_TICKS = 2.0**40
+
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
@@ -109,20 +112,22 @@ def _signed(bags: list[tuple[np.ndarray, np.ndarray]], size: int, points: int) -
     owner = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
     seed, lower, width, weight, owner = _processes(np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags]), owner)
     least = np.full(len(bags) * size, np.inf)
-    time, drawn = np.zeros(len(seed)), 0
+    time, drawn = np.zeros(len(seed), np.int64), 0
     while len(seed):
         index = np.arange(drawn + 1, drawn + points + 1, dtype=np.uint64)
         bits = mixed(seed[:, None] + index[None, :] * _GOLDEN)
-        gaps = -np.log(((bits >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53)
-        times = time[:, None] + np.cumsum(gaps, axis=1) / (size * width)[:, None]
+        # gaps are whole numbers of ticks, so a point has the same time however many are drawn at once
+        gaps = np.rint(-np.log(((bits >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) * _TICKS).astype(np.int64)
+        ticks = time[:, None] + np.cumsum(gaps, axis=1)
+        times = ticks / (size * width)[:, None]
         other = mixed(bits ^ _M2)
         component = ((other >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
         position = lower[:, None] + width[:, None] * ((other & np.uint64(0xFFFFFFFF)).astype(float) * 2.0**-32)
         valid = (position < weight[:, None]) & (times < least.reshape(-1, size).max(1)[owner][:, None])
         at = (owner[:, None] * size + component)[valid]
         np.minimum.at(least, at, times[valid])
-        time, drawn = times[:, -1], drawn + points
-        alive = time < least.reshape(-1, size).max(1)[owner]
+        time, drawn = ticks[:, -1], drawn + points
+        alive = times[:, -1] < least.reshape(-1, size).max(1)[owner]
         seed, lower, width, weight, owner, time = (x[alive] for x in (seed, lower, width, weight, owner, time))
     return least.reshape(-1, size)
 
@@ -166,7 +171,7 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float(shared / total) if total else 0.0
 
 
-def texts_of(nodes: DataFrame, docs: DataFrame, *, broadcast_rows: int = 1_000_000) -> DataFrame:
+def texts_of(nodes: DataFrame, docs: DataFrame, *, broadcast_rows: int = 300_000) -> DataFrame:
     """(node, text) of some nodes; only their texts move.
 
     The set of nodes is broadcast up to ``broadcast_rows`` of 16 bytes, and joined by shuffle beyond.
@@ -310,7 +315,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, *, least: float = 0.8, bands: int = 32, rows: int = 5, width: int = 5) -> DataFrame:
-    """doc_id, node, class_id and class_rows of every input row."""
+    """doc_id, node, class_id, class_rows and first_node (of the class's least doc_id and, of that, the least node) of every input row."""
     table = signed(docs, bands=bands, rows=rows, width=width)
     unique = table.filter("keys is not null").groupBy("node").agg(F.first("keys").alias("keys"))
     flat = unique.select(F.explode("keys").alias("key"), "node")
@@ -324,19 +329,23 @@ def classes(docs: DataFrame, *, least: float = 0.8, bands: int = 32, rows: int =
     named = table.select("doc_id", "node").join(roots, "node", "left")
     lone = F.col("node").isNull()
     with_class = named.filter(~lone).withColumn("root", F.coalesce("root", "node"))
-    sizes = with_class.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_rows"))
-    own = named.filter(lone).select("doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_rows"))
-    return with_class.join(sizes, "root").select("doc_id", "node", "class_id", "class_rows").unionByName(own)
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "node")))
+    sizes = with_class.groupBy("root").agg(first.alias("first"), F.count(F.lit(1)).alias("class_rows"))
+    own = named.filter(lone).select("doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_rows"), F.col("node").alias("first_node"))
+    both = with_class.join(sizes, "root").select("doc_id", "node", F.col("first.doc_id").alias("class_id"), "class_rows", F.col("first.node").alias("first_node"))
+    return both.unionByName(own)
 
 
 def first_of_each(docs: DataFrame, **how) -> DataFrame:
     """The input rows without those that aren't the first of their class.
 
-    The first is the row with the class's id. Of repeated rows one stays, unless
-    their id is null: such rows always stay.
+    The first is the row with the class's least id; if other texts of the class
+    have that id too, the one whose md5 is least. Of repeated rows one stays.
+    Rows with a null id always stay.
     """
-    table = stored(classes(docs, **how).select("doc_id", "node", "class_id"), "near-classes")
-    out = table.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("class_id"))).select("doc_id", "node").distinct()
+    table = stored(classes(docs, **how).select("doc_id", "node", "class_id", "first_node"), "near-classes")
+    other = (F.col("doc_id") != F.col("class_id")) | (F.col("node") != F.col("first_node"))
+    out = table.filter(F.col("doc_id").isNotNull() & F.col("node").isNotNull() & other).select("doc_id", "node").distinct()
     out = stored(out.withColumnsRenamed({"doc_id": "__doc", "node": "__gone"}), "near-gone")
     node = F.unhex(F.md5(F.col("text").cast("string").cast("binary")))
     rest = docs.join(sized(out), (F.col("doc_id") == F.col("__doc")) & (node == F.col("__gone")), "left_anti")

@@ -102,6 +102,32 @@ def test_signatures_are_unbiased():
     assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.04
 
 
+@pytest.mark.parametrize("power", [6, 7, 8, 9])
+def test_signatures_agree_across_powers_of_two(power):
+    """Bags on either side of a power of two draw their points in other portions, but the same points."""
+    rng = np.random.default_rng(power)
+    agreed, exact = [], []
+    for _ in range(60):
+        h = rng.integers(0, 2**63, 2**power + 2, dtype=np.uint64)
+        fresh = rng.integers(0, 2**63, 2**power // 10, dtype=np.uint64)
+        large = (np.sort(h), np.ones(len(h), np.int64))
+        small = np.sort(np.concatenate([h[: 2**power - 2 - len(fresh)], fresh]))
+        small = (small, np.ones(len(small), np.int64))
+        s = nd.signatures([large, small], 256)
+        agreed.append((s[0] == s[1]).mean())
+        exact.append(nd.overlap(large, small))
+    assert abs(np.mean(agreed) - np.mean(exact)) < 0.02
+
+
+def test_repeated_ids_with_other_texts(spark):
+    """Two texts of one id in one class: only one row stays, whatever the order."""
+    base = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(base)), (1, " ".join(base[:-1] + ["other"])), (2, " ".join(["start"] + base[1:])), (1, "a text of its own that is not like them"), (2, " ".join(base))]
+    for order in (rows, rows[::-1]):
+        kept = [tuple(r) for r in nd.first_of_each(spark.createDataFrame(order, "doc_id long, text string")).collect()]
+        assert sorted(r[0] for r in kept) == [1, 1] and rows[3] in kept and len(set(kept) & {rows[0], rows[1]}) == 1
+
+
 def test_components_of_chains(spark):
     links = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(60)] + [(b"y", b"z")], "a binary, b binary")
     roots = {bytes(r.node): bytes(r.root) for r in nd.components(links.repartition(5)).collect()}
