@@ -41,7 +41,7 @@ def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or cuts documents so that each source has its target of words."""
-    return mixing.emit(mixing.mix(docs), docs.columns)
+    return mixing.emit(docs, mixing.draw(docs))
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,25 +2,27 @@
 
 The mix is counted in blocks of equally many words. Sources receive blocks by
 highest quotients target / (2k - 1), k = 1, 2, ..., which gives every source an
-integer quota. `quotas` splits it over output shards, but the mix uses only the
-total of all shards: no document or block is given a shard. Each source lays its
-documents out in a seeded order; its blocks are drawn from that order, starting
-over when all are used. A document's taken words are those of its blocks that
-were drawn.
+integer quota in every output shard. Each source lays its documents out in a
+seeded order; a shard draws its quota of blocks from that order where the shard
+before it has ended, starting over when all are used. A document's taken words
+are those of its blocks that were drawn.
 
-All of it is DataFrame code. Texts are never shuffled: finding where a source's
-draws end takes two levels of at most 1,024 sums per source over a slim table,
-so no task ever sorts a whole source.
+All of it is DataFrame code, and texts are never shuffled. Words are counted
+once, into a slim table; to write the mix out, a text only needs to know whether
+it lies before or after the end of its source's draws.
 
 Defined results: a null text has size 0 and takes 0; null is a source of its
 own, last in order; a null id is ordered like an empty one; rows that agree in
 source, id and size share their draws equally; a source without words takes 0;
-an empty table gives no rows; input columns stay, and those named like a result
-column are replaced.
+an empty table gives no rows. `draw` takes source, doc_id and text and ignores all
+other columns; `emit` returns the columns of its input, and names that begin with
+two underscores are its own.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,8 +34,6 @@ from loomwork.session import stored
 _LEVEL = 10
 _KEY_BITS = 60
 
-RESULT = ("size", "source_size", "target", "quota_blocks", "block_words", "taken")
-
 
 def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most_repeats: int = 3) -> DataFrame:
     """One row per source: number, weight, source_size, target words, capped.
@@ -107,82 +107,114 @@ def _level(key, level: int):
     return F.shiftright(key, _KEY_BITS - _LEVEL * level).bitwiseAND((1 << _LEVEL) - 1)
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most_repeats: int = 3, blocks: int = 1 << 22, shards: int = 64, seed: int = 17) -> DataFrame:
-    """The input rows with size, source_size, target, quota_blocks, block_words and taken."""
+def laid_out(slim: DataFrame) -> DataFrame:
+    """The rows (source, doc_id, size, key) with ``start``, the words before them in their source's seeded order, and ``alike``.
+
+    ``alike`` is the number of rows that agree in all columns; they share one start.
+    Words are summed by two levels of 1,024 groups of keys, so running sums see
+    at most 1,024 rows a source or group, and only a millionth of a source is
+    put in order in one place.
+    """
+    one, two = _level(F.col("key"), 1).alias("g1"), _level(F.col("key"), 2).alias("g2")
+    rows = slim.select("*", one, two)
+    fine = rows.groupBy("source", "g1", "g2").agg(F.sum("size").alias("words"))
+    before = lambda by, order: F.coalesce(F.sum("words").over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    coarse = fine.groupBy("source", "g1").agg(F.sum("words").alias("words"))
+    coarse = coarse.select(F.col("source").alias("__s"), F.col("g1").alias("__g1"), before(("source",), "g1").alias("first"))
+    fine = fine.withColumn("second", before(("source", "g1"), "g2"))
+    groups = fine.join(coarse, F.col("source").eqNullSafe(F.col("__s")) & (F.col("g1") == F.col("__g1")))
+    groups = groups.select(F.col("source").alias("__s"), F.col("g1").alias("__g1"), F.col("g2").alias("__g2"), (F.col("first") + F.col("second")).alias("before"))
+    here = F.col("source").eqNullSafe(F.col("__s")) & (F.col("g1") == F.col("__g1")) & (F.col("g2") == F.col("__g2"))
+    group = ("source", "g1", "g2")
+    order = ("key", F.col("doc_id").asc_nulls_first(), "size")
+    upto = F.sum("size").over(W.partitionBy(*group).orderBy(*order).rangeBetween(W.unboundedPreceding, W.currentRow))
+    alike = F.count(F.lit(1)).over(W.partitionBy(*group, "key", "doc_id", "size"))
+    placed = rows.withColumn("upto", upto).withColumn("alike", alike).join(groups, here)
+    return placed.withColumn("start", F.col("before") + F.col("upto") - F.col("alike") * F.col("size")).drop("upto", "before", "g1", "g2", "__s", "__g1", "__g2")
+
+
+@dataclass
+class Mix:
+    """The draws of a mix: a row per source, and a slim row per document."""
+
+    sources: DataFrame
+    documents: DataFrame
+    seed: int
+
+
+def draw(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most_repeats: int = 3, blocks: int = 1 << 22, shards: int = 64, seed: int = 17) -> Mix:
+    """Quotas of all sources and what they draw.
+
+    ``sources``: source, source_size, target, block_words, n_blocks, quota_blocks,
+    passes (whole draws of the source), left (words of its last pass) and quotas,
+    the blocks drawn up to each shard.
+    ``documents``: source, doc_id, key, size, source_size, target, quota_blocks,
+    block_words, taken, and first_shard and last_shard, those of the document's
+    first and last taken word (null if none is).
+    """
     if most_repeats > 3:
         raise ValueError("draws are limited to three passes over a source")
-    key = text.order_key(F.col("doc_id"), seed)
-    sized = docs.drop(*RESULT).withColumn("size", text.word_count(F.col("text").cast("string")))
-    slim = stored(sized.select("source", "doc_id", "size", key.alias("__key")), "mix-sizes")
+    key = text.order_key(F.col("doc_id"), seed).alias("key")
+    slim = stored(docs.select("source", "doc_id", text.word_count(F.col("text").cast("string")).alias("size"), key), "mix-sizes")
     targets = stored(source_targets(slim, weights=weights, most_repeats=most_repeats), "mix-targets")
-    final = stored(quotas(targets, blocks=blocks, shards=shards).filter(F.col("shard") == shards), "mix-quotas")
-
-    # The words of a source's last, unfinished pass.
-    passes = F.floor(F.col("drawn") / F.greatest(F.col("n_blocks"), F.lit(1))).cast("long")
-    plan = final.select(
-        "source", "source_size", "target", F.col("drawn").alias("quota_blocks"), "block_words", passes.alias("__passes"),
-        F.least((F.col("drawn") - passes * F.col("n_blocks")) * F.col("block_words"), F.col("source_size")).alias("__left"),
+    by_source = quotas(targets, blocks=blocks, shards=shards).groupBy("source", "source_size", "target", "block_words", "n_blocks")
+    drawn = F.transform(F.array_sort(F.collect_list(F.struct("shard", "drawn"))), lambda x: x["drawn"])
+    plan = by_source.agg(drawn.alias("quotas")).withColumn("quota_blocks", F.element_at("quotas", -1))
+    passes = F.floor(F.col("quota_blocks") / F.greatest(F.col("n_blocks"), F.lit(1))).cast("long")
+    plan = plan.withColumn("passes", passes)
+    rest = F.least((F.col("quota_blocks") - F.col("passes") * F.col("n_blocks")) * F.col("block_words"), F.col("source_size"))
+    plan = stored(plan.withColumn("left", rest), "mix-plan")
+
+    both = laid_out(slim).join(plan.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    size, n = F.col("size"), F.col("alike")
+    space = F.least(F.greatest(F.col("left") - F.col("start"), F.lit(0)), n * size)
+    both = both.withColumn("part", F.floor(space / n).cast("long"))
+    both = both.withColumn("taken", (F.col("passes") * size + F.col("part")).cast("long"))
+    # the places of the first and last taken word among the blocks drawn from the source
+    first = F.floor(F.col("start") / F.col("block_words"))
+    end = F.col("start") + F.when(F.col("part") > 0, space).otherwise(n * size) - 1
+    last = F.when(F.col("part") > 0, F.col("passes")).otherwise(F.col("passes") - 1) * F.col("n_blocks") + F.floor(end / F.col("block_words"))
+    shard = lambda place: F.when(F.col("taken") > 0, F.size(F.filter("quotas", lambda x: x <= place)) + 1).cast("int")
+    out = both.withColumn("__first", first).withColumn("__last", last).select(
+        "source", "doc_id", "key", "size", "source_size", "target", "quota_blocks", "block_words", "taken",
+        shard(F.col("__first")).alias("first_shard"), shard(F.col("__last")).alias("last_shard"), "start", "alike", "part", "passes", "left",
     )
-
-    def ends(rows: DataFrame, left: str, level: int) -> DataFrame:
-        """Of each source, the group of keys in which its draws end, and the words still to take there."""
-        sums = rows.groupBy("source", _level(F.col("__key"), level).alias("group")).agg(F.sum("size").alias("words"), F.first(left).alias("left"))
-        upto = F.sum("words").over(W.partitionBy("source").orderBy("group"))
-        return (
-            sums.withColumn("upto", upto).filter((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("words") <= F.col("left")))
-            .groupBy(F.col("source").alias("__s"))
-            .agg(F.min(F.struct("group", (F.col("left") - F.col("upto") + F.col("words")).alias("left"))).alias("end"))
-            .select("__s", F.col("end.group").alias(f"__g{level}"), F.col("end.left").alias(f"__l{level}"))
-        )
-
-    here = F.col("source").eqNullSafe(F.col("__s"))
-    whole = slim.join(plan.select(F.col("source").alias("__s"), "__left"), here).drop("__s")
-    first = stored(ends(whole, "__left", 1), "mix-ends")
-    in_first = whole.join(first, here & (_level(F.col("__key"), 1) == F.col("__g1"))).drop("__s")
-    second = stored(ends(in_first, "__l1", 2), "mix-ends")
-    in_second = in_first.join(second, here & (_level(F.col("__key"), 2) == F.col("__g2"))).drop("__s")
-    # What is left is about a millionth of each source: order it document by document.
-    groups = in_second.groupBy("source", "__key", "doc_id", "size").agg(F.count(F.lit(1)).alias("n"), F.first("__l2").alias("left"))
-    inside = W.partitionBy("source").orderBy("__key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, -1)
-    space = F.col("left") - F.coalesce(F.sum(F.col("n") * F.col("size")).over(inside), F.lit(0))
-    part = F.floor(F.least(F.greatest(space, F.lit(0)), F.col("n") * F.col("size")) / F.col("n")).cast("long")
-    edge = stored(
-        groups.select(F.col("source").alias("__s"), F.col("__key").alias("__k"), F.col("doc_id").alias("__d"), F.col("size").alias("__z"), part.alias("__part")),
-        "mix-edge",
-    )
-
-    cuts = (
-        plan.join(first.withColumnRenamed("__s", "__s1"), F.col("source").eqNullSafe(F.col("__s1")), "left")
-        .join(second.withColumnRenamed("__s", "__s2"), F.col("source").eqNullSafe(F.col("__s2")), "left")
-        .withColumnRenamed("source", "__s").drop("__s1", "__s2")
-    )
-    cuts = stored(cuts, "mix-cuts")
-    out = sized.withColumn("__key", key).join(cuts, here, "left").drop("__s")
-    at_edge = here & (F.col("__key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("size") == F.col("__z"))
-    out = out.join(edge, at_edge, "left")
-    one, two = _level(F.col("__key"), 1), _level(F.col("__key"), 2)
-    last = (
-        F.when(F.col("__left") >= F.col("source_size"), F.col("size"))
-        .when(F.col("__g1").isNull() | (one < F.col("__g1")), F.col("size"))
-        .when(one > F.col("__g1"), F.lit(0))
-        .when(F.col("__g2").isNull() | (two < F.col("__g2")), F.col("size"))
-        .when(two > F.col("__g2"), F.lit(0))
-        .otherwise(F.coalesce(F.col("__part"), F.lit(0)))
-    )
-    taken = F.col("__passes") * F.col("size") + F.when(F.col("__left") > 0, last).otherwise(F.lit(0))
-    return out.withColumn("taken", taken.cast("long")).select(*[c for c in sized.columns], "source_size", "target", "quota_blocks", "block_words", "taken")
+    return Mix(plan, out, seed)
 
 
-def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The texts of a mix: whole copies of each document, then its last words' share as a shorter text.
+def emit(docs: DataFrame, mix: Mix) -> DataFrame:
+    """The texts of a mix, with the columns of ``docs``: whole copies of each document, then its last words' share as a shorter text.
 
-    A shorter text keeps the document's first words, with single blanks between.
+    A shorter text holds the document's text up to its last taken word, and
+    ``n_chars``, if there is such a column, its length. Texts stay where they
+    lie: of each source only its passes and the document at which its draws end
+    are joined, one row a source or a few, if rows agree in all but their text.
     """
-    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    more = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).cast("int")
-    piece = F.when(F.col("__n") <= copies, F.col("text")).otherwise(F.concat_ws(" ", F.slice(text.word_array(F.col("text")), F.lit(1), more)))
-    n = copies + F.when(more > 0, 1).otherwise(0)
-    rows = mixed.filter(n > 0).withColumn("__n", F.explode(F.sequence(F.lit(1), n)))
-    rows = rows.withColumn("__piece", piece)
-    chars = F.when((F.col("__n") > copies) | F.col("n_chars").isNull(), F.length("__piece").cast("long")).otherwise(F.col("n_chars"))
-    return rows.withColumn("n_chars", chars).withColumn("text", F.col("__piece")).select(*columns)
+    edges = mix.documents.filter((F.col("start") <= F.col("left")) & (F.col("left") < F.col("start") + F.col("alike") * F.col("size")) & (F.col("left") > 0))
+    edge = edges.groupBy(F.col("source").alias("__e")).agg(F.min(F.struct("key", "doc_id", "size", "part")).alias("__edge"))
+    plan = mix.sources.select(F.col("source").alias("__s"), F.col("passes").alias("__passes"), F.col("left").alias("__left"))
+    cuts = stored(plan.join(edge, F.col("__s").eqNullSafe(F.col("__e")), "left").drop("__e"), "mix-cuts")
+    body = F.col("text").cast("string")
+    key, id_ = text.order_key(F.col("doc_id"), mix.seed), F.col("doc_id")
+    rows = docs.filter(body.rlike(text.WORD)).withColumn("__key", key).join(cuts, F.col("source").eqNullSafe(F.col("__s")))
+    edge_id = F.col("__edge.doc_id")
+    # the rows of one key, which differ in their ids or sizes only where hashes agree, are told apart as in laid_out
+    same_key = F.col("__key") == F.col("__edge.key")
+    same_id = same_key & id_.eqNullSafe(edge_id)
+    before = (F.col("__key") < F.col("__edge.key")) | (same_key & ((id_.isNull() & edge_id.isNotNull()) | (id_ < edge_id)))
+    size = F.when(same_id, text.word_count(body))
+    whole = F.col("__left") > 0
+    whole = whole & (F.col("__edge").isNull() | F.coalesce(before, F.lit(False)) | (same_id & (F.col("__size") < F.col("__edge.size"))))
+    rows = rows.withColumn("__size", size).withColumn("__copies", (F.col("__passes") + F.when(F.coalesce(whole, F.lit(False)), 1).otherwise(0)).cast("int"))
+    at_edge = F.coalesce(same_id & (F.col("__size") == F.col("__edge.size")) & (F.col("__left") > 0), F.lit(False))
+    rows = rows.withColumn("__more", F.when(at_edge, F.col("__edge.part")).otherwise(0).cast("int"))
+    n = F.col("__copies") + F.when(F.col("__more") > 0, 1).otherwise(0)
+    rows = rows.filter(n > 0).withColumn("__n", F.explode(F.sequence(F.lit(1), n)))
+    cut = F.col("__n") > F.col("__copies")
+    with_blanks = F.regexp_extract_all(body, F.lit(f"[ \\t-\\r]*{text.WORD}+"), F.lit(0))
+    start = F.array_join(F.slice(with_blanks, F.lit(1), F.col("__more")), "")
+    rows = rows.withColumn("__piece", F.when(cut, start).otherwise(body))
+    out = rows.withColumn("text", F.col("__piece"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(cut | F.col("n_chars").isNull(), F.length("__piece").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -18,8 +18,8 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "quota_blocks", "block_words")
+    rows = mixing.draw(read_table(spark, sf_dir, "documents")).documents
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "quota_blocks", "block_words", "first_shard", "last_shard")
 
 
 #: Every quotient of the contest is written out and ranked, for all block counts of the production parameters.
@@ -51,23 +51,40 @@ house AS (
   FROM targets),
 quotients AS (
   SELECT number, unnest(range(1, (target * h / t)::BIGINT + 3)) AS seat, target FROM targets, house WHERE NOT capped AND target > 0),
-won AS (
-  SELECT number, count(*) AS won FROM (
-    SELECT number, row_number() OVER (ORDER BY target / (2 * seat - 1) DESC, number, seat) AS place FROM quotients), house
-  WHERE place <= h GROUP BY number),
+places AS (
+  SELECT number, row_number() OVER (PARTITION BY number ORDER BY target / (2 * seat - 1) DESC, seat) AS nth,
+         row_number() OVER (ORDER BY target / (2 * seat - 1) DESC, number, seat) AS place
+  FROM quotients),
+capped_seats AS (
+  SELECT number, unnest(range(1, (3 * ceil(source_size / block_words))::BIGINT + 1)) AS nth, 3 * ceil(source_size / block_words) AS n
+  FROM targets WHERE capped),
+-- the shard of each block: the first whose share of all blocks reaches it
+blocks AS (
+  SELECT number, nth, (SELECT min(s) FROM range(1, 65) r(s) WHERE h * s // 64 >= place) AS shard FROM places, house WHERE place <= h
+  UNION ALL
+  SELECT number, nth, (SELECT min(s) FROM range(1, 65) r(s) WHERE floor(n * s / 64) >= nth) FROM capped_seats),
+won AS (SELECT number, count(*) AS won FROM blocks GROUP BY number),
 quota AS (
   SELECT t.*, ceil(source_size / block_words)::BIGINT AS n_blocks,
-         (CASE WHEN capped THEN 3 * ceil(source_size / block_words) ELSE least(coalesce(won, 0), 3 * ceil(source_size / block_words)) END)::BIGINT AS quota_blocks
+         least(coalesce(won, 0), 3 * ceil(source_size / block_words))::BIGINT AS quota_blocks
   FROM targets t LEFT JOIN won USING (number)),
 laid AS (
-  SELECT s.doc_id, s.size, q.source_size, q.target, q.quota_blocks, q.block_words,
+  SELECT q.number, s.doc_id, s.size, q.source_size, q.target, q.quota_blocks, q.block_words, q.n_blocks,
          q.quota_blocks // greatest(q.n_blocks, 1) AS passes,
          least(q.quota_blocks % greatest(q.n_blocks, 1) * q.block_words, q.source_size) AS rest,
          coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.k, s.doc_id NULLS FIRST, s.size
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM sized s JOIN quota q ON s.source IS NOT DISTINCT FROM q.source)
-SELECT doc_id, size, source_size, target, (passes * size + least(greatest(rest - start, 0), size))::BIGINT AS taken, quota_blocks, block_words
-FROM laid
+  FROM sized s JOIN quota q ON s.source IS NOT DISTINCT FROM q.source),
+drawn AS (
+  SELECT *, least(greatest(rest - start, 0), size)::BIGINT AS part FROM laid),
+ends AS (
+  SELECT *, passes * size + part AS taken, start // block_words + 1 AS first_nth,
+         CASE WHEN part > 0 THEN passes * n_blocks + (start + part - 1) // block_words
+              ELSE (passes - 1) * n_blocks + (start + size - 1) // block_words END + 1 AS last_nth
+  FROM drawn)
+SELECT doc_id, size, source_size, target, taken::BIGINT AS taken, quota_blocks, block_words,
+       CASE WHEN taken > 0 THEN a.shard END::INTEGER AS first_shard, CASE WHEN taken > 0 THEN b.shard END::INTEGER AS last_shard
+FROM ends e LEFT JOIN blocks a ON a.number = e.number AND a.nth = e.first_nth LEFT JOIN blocks b ON b.number = e.number AND b.nth = e.last_nth
 """
 
 

@@ -63,26 +63,59 @@ def test_documents_that_share_their_extreme_lines_count_each(spark):
 
 
 def test_mixing_odd_rows(spark, odd, empty):
-    rows = mixing.mix(odd).collect()
+    mix = mixing.draw(odd)
+    rows = mix.documents.collect()
     assert len(rows) == odd.count()
     sizes = Counter()
     for r in rows:
         sizes[r.source] += r["size"]
-        assert 0 <= r.taken <= 3 * r["size"]
+        assert 0 <= r.taken <= 3 * r["size"] and (r.taken > 0) == (r.first_shard is not None)
     taken = Counter()
     for r in rows:
         taken[r.source] += r.taken
         assert r.source_size == sizes[r.source] and r.target <= 3 * sizes[r.source] + 1e-6
     for r in rows:
         assert abs(taken[r.source] - r.target) <= max(2, 0.01 * r.target)
-    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(odd).collect()))
-    assert mixing.mix(empty).count() == 0
-    out = mixing.emit(mixing.mix(odd), odd.columns)
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.draw(odd).documents.collect()))
+    assert mixing.draw(empty).documents.count() == 0 and mixing.emit(empty, mixing.draw(empty)).count() == 0
+    out = mixing.emit(odd, mix)
     assert out.columns == odd.columns
     words = {r.source: r.n for r in out.groupBy("source").agg(F.sum(text.word_count(F.col("text"))).alias("n")).collect()}
     assert words == {k: v for k, v in taken.items() if v}
 
 
+def test_emitted_texts_are_what_was_drawn(spark):
+    """Also without n_chars; a cut text keeps its lines."""
+    rows = [(d, " ".join(f"w{i}" for i in range(d % 9)) + f"\n  x{d}\ty{d} " * (d % 4), "ab"[d % 3 > 0]) for d in range(200)] + [(7, "w0 w1\n w2", "a")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.draw(df, weights=(1, 5))
+    want = Counter()
+    for r in mix.documents.collect():
+        want[r.doc_id] += r.taken
+    got, texts = Counter(), {}
+    for d, t, s in rows:
+        texts.setdefault(d, set()).add(t)
+    for r in mixing.emit(df, mix).collect():
+        got[r.doc_id] += len(r.text.split())
+        assert any(t.startswith(r.text) for t in texts[r.doc_id])
+    assert got == Counter({k: v for k, v in want.items() if v}) and set(want.values()) != {0}
+
+
+def test_shards_take_their_quotas(spark):
+    """With blocks of a few words, what the documents say of their shards adds up to the shards' quotas."""
+    rows = [(d, "w " * (1 + d % 7), "abc"[d % 3]) for d in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.draw(df, blocks=300, shards=7)
+    for source in mix.sources.collect():
+        own = sorted((r.start, r["size"], r.taken, r.first_shard, r.last_shard) for r in mix.documents.filter(F.col("source") == source.source).collect())
+        shard = [next(s for s, q in enumerate(source.quotas, 1) if q > place) for place in range(source.quota_blocks)]
+        assert len(source.quotas) == 7 and source.quotas == sorted(source.quotas) and source.quotas[-1] == source.quota_blocks
+        for start, size, taken, first, last in own:
+            words = [p * source.n_blocks + (start + i) // source.block_words for p in range(4) for i in range(size)]
+            drawn = [x for x in words if x < source.quota_blocks]
+            assert (taken, first, last) == ((len(drawn), shard[drawn[0]], shard[drawn[-1]]) if drawn else (0, None, None))
+
+
 def test_targets_against_a_plain_version(spark):
     sizes = {"a": 10, "b": 100_000, "c": 50, "d": 30_000, None: 7, "e": 0}
     df = spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, size long")
