@@ -239,3 +239,9 @@ def simple_like(pattern: str) -> str | None:
     """The pattern for Spark's own LIKE, which can be pushed down, if it has no odd escapes."""
     odd = re.search(r"\\(?![%_\\])", pattern)
     return None if odd else pattern
+
+
+def plain_like(pattern: Column) -> Column:
+    """A pattern from a column as Spark's LIKE takes it: \\x for any other x is x, and a last \\ stands for itself."""
+    kept = F.regexp_replace(pattern, r"(?s)(\\[%_\\])|\\(.)", "$1$2")
+    return F.regexp_replace(kept, r"(?s)^((?:[^\\]|\\.)*)\\$", r"$1\\\\")

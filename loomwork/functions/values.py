@@ -111,6 +111,13 @@ def variant_rank(v: Column) -> Column:
     return out.when(told.startswith("OBJECT<`$date`") | told.startswith("OBJECT<$date"), 6).when(told.startswith("OBJECT"), 10).otherwise(3)
 
 
+def number_text(v: Column) -> Column:
+    """One text for each number, whole numbers exactly: 5 and 5.0 are one, 2^53 and 2^53 + 1 are not."""
+    number, whole = get(v, "$", "double"), F.when(F.schema_of_variant(v) == "BIGINT", get(v, "$", "bigint").cast("string"))
+    small = F.when((number == F.floor(number)) & (F.abs(number) < 2.0**53), number.cast("bigint").cast("string"))
+    return F.coalesce(whole, small, number.cast("string"))
+
+
 def variant_time(v: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(get(v, "$['$date']", "string")), get(v, "$", "timestamp"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -30,14 +31,31 @@ class Condition:
 
 
 _count = [0]
+_NAME = r"[^\W\d][\w$]*"
+_PATH = re.compile(rf"{_NAME}(?:\.{_NAME}|\[(?:-?\d+)?\])*")
+_OUTPUT = re.compile(rf"(?:\*|(?P<path>{_PATH.pattern})|[A-Za-z_]+\((?:\*|{_PATH.pattern})\))(?:\s+(?:AS\s+)?{_NAME})?", re.IGNORECASE)
 
 
-def _with(template: str, *values) -> Condition:
+def checked(path: str) -> str:
+    """The path, if it is one: names, indexes and [] joined by dots. Anything else could change the statement it goes into."""
+    if not isinstance(path, str) or not _PATH.fullmatch(path):
+        raise ValueError(f"not a path: {path!r}")
+    return path
+
+
+def _checked_output(output: str) -> str:
+    """A path, * or a function of one, with or without a name."""
+    if not isinstance(output, str) or not _OUTPUT.fullmatch(output):
+        raise ValueError(f"not an output: {output!r}")
+    return output
+
+
+def _with(path: str, rest: str, *values) -> Condition:
     names = []
     for _ in values:
         _count[0] += 1
         names.append(f"p{_count[0]}")
-    return Condition(template.format(*[f"@{n}" for n in names]), dict(zip(names, values, strict=True)))
+    return Condition(f"{checked(path)} {rest.format(*[f'@{n}' for n in names])}", dict(zip(names, values, strict=True)))
 
 
 def _escaped(text: str) -> str:
@@ -45,40 +63,40 @@ def _escaped(text: str) -> str:
 
 
 def eq(path: str, value) -> Condition:
-    return _with(path + " = {}", value)
+    return _with(path, "= {}", value)
 
 
 def ne(path: str, value) -> Condition:
-    return _with(path + " != {}", value)
+    return _with(path, "!= {}", value)
 
 
 def lt(path: str, value) -> Condition:
-    return _with(path + " < {}", value)
+    return _with(path, "< {}", value)
 
 
 def le(path: str, value) -> Condition:
-    return _with(path + " <= {}", value)
+    return _with(path, "<= {}", value)
 
 
 def gt(path: str, value) -> Condition:
-    return _with(path + " > {}", value)
+    return _with(path, "> {}", value)
 
 
 def ge(path: str, value) -> Condition:
-    return _with(path + " >= {}", value)
+    return _with(path, ">= {}", value)
 
 
 def in_(path: str, values: list) -> Condition:
     """No values: never true."""
-    return _with(path + " IN {}", list(values)) if values else Condition("FALSE")
+    return _with(path, "IN {}", list(values)) if values else Condition("FALSE" if checked(path) else "")
 
 
 def between(path: str, low, high) -> Condition:
-    return _with(path + " BETWEEN {} AND {}", low, high)
+    return _with(path, "BETWEEN {} AND {}", low, high)
 
 
 def like(path: str, pattern: str) -> Condition:
-    return _with(path + " LIKE {}", pattern)
+    return _with(path, "LIKE {}", pattern)
 
 
 def startswith(path: str, text: str) -> Condition:
@@ -94,11 +112,11 @@ def contains(path: str, text: str) -> Condition:
 
 
 def is_null(path: str) -> Condition:
-    return Condition(f"{path} IS NULL")
+    return Condition(f"{checked(path)} IS NULL")
 
 
 def is_missing(path: str) -> Condition:
-    return Condition(f"{path} IS MISSING")
+    return Condition(f"{checked(path)} IS MISSING")
 
 
 def _joined(word: str, parts: tuple[Condition, ...]) -> Condition:
@@ -133,19 +151,22 @@ class Query:
     limit: int | None = None
     offset: int = 0
 
+    def __post_init__(self):
+        checked(self.name)
+
     def where(self, *conditions: Condition) -> Query:
         """After grouping, a condition on groups."""
         name = "havings" if self.keys else "conditions"
         return replace(self, **{name: getattr(self, name) + conditions})
 
     def select(self, *outputs: str) -> Query:
-        return replace(self, outputs=outputs)
+        return replace(self, outputs=tuple(map(_checked_output, outputs)))
 
     def group_by(self, *keys: str) -> Query:
-        return replace(self, keys=keys)
+        return replace(self, keys=tuple(map(checked, keys)))
 
     def order_by(self, path: str, descending: bool = False) -> Query:
-        return replace(self, orders=(*self.orders, (path, descending)))
+        return replace(self, orders=(*self.orders, (checked(path), descending)))
 
     def distinct(self) -> Query:
         return replace(self, unique=True)
@@ -210,7 +231,7 @@ class Query:
         return not self.any(not_(condition))
 
     def _aggregate(self, name: str, path: str):
-        return replace(self, outputs=(f"{name}({path}) AS x",), orders=()).df().first().x
+        return replace(self, outputs=(f"{name}({checked(path)}) AS x",), orders=()).df().first().x
 
     def sum(self, path: str):
         return self._aggregate("SUM", path)

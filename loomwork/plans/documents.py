@@ -9,6 +9,7 @@ Catalyst prunes columns, pushes filters down and picks joins and aggregations.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from loomwork.functions.values import MISSING, Value
 from loomwork.plans import syntax as S
 
 DOC = "doc"
+ID = "_id"
 
 
 def schemaless(df: DataFrame) -> bool:
@@ -131,12 +133,12 @@ class Scope:
         raise TypeError(f"not an expression: {node!r}")
 
     def like(self, node: S.Binary) -> Column:
+        """Unknown where either side is no text, so such rows meet neither LIKE nor NOT LIKE."""
         text, pattern = V.string(self.value(node.left)), self.constant(node.right)
-        if not isinstance(pattern, str):
-            return F.lit(False)
-        plain = scalars.simple_like(pattern)
-        found = text.like(plain) if plain is not None else text.rlike(scalars.like_pattern(pattern))
-        return F.coalesce(found, F.lit(False))
+        if isinstance(pattern, str):
+            plain = scalars.simple_like(pattern)
+            return text.like(plain) if plain is not None else text.rlike(scalars.like_pattern(pattern))
+        return F.call_function("like", text, scalars.plain_like(V.string(self.value(node.right))))
 
     def within(self, node: S.In) -> Column:
         value = self.value(node.value)
@@ -274,7 +276,7 @@ def _group(df: DataFrame, scope: Scope, statement: S.Select, calls: list) -> tup
     keys = [scope.value(g) for g in statement.group]
     columns = []
     for i, v in enumerate(keys):
-        text = F.coalesce(F.when(V.variant_rank(v.col) == 3, V.get(v.col, "$", "double").cast("string")), F.to_json(v.col)) if v.kind == "var" else output(v)
+        text = F.coalesce(F.when(V.variant_rank(v.col) == 3, V.number_text(v.col)), F.to_json(v.col)) if v.kind == "var" else output(v)
         columns.append(text.alias(f"__g{i}"))
     found = [aggregate(c, scope) for c in calls]
     table = df.groupBy(*columns) if columns else df.groupBy()
@@ -358,10 +360,13 @@ def update(df: DataFrame, statement: S.Update, parameters: dict | None = None) -
 
 
 def insert(df: DataFrame, statement: S.Insert, parameters: dict | None = None) -> DataFrame:
+    """With the documents added; a schemaless one without ``_id`` gets a new one."""
     one = df.sparkSession.range(1)
     empty = Scope(one, parameters)
     for document in statement.documents:
         if schemaless(df):
+            if ID not in [k for k, _ in document.fields]:
+                document = S.ObjectOf(((ID, S.Literal(uuid.uuid4().hex)), *document.fields))
             df = df.unionByName(one.select(empty.value(document).col.alias(DOC)))
         else:
             fields = {k: output(empty.value(v)) for k, v in document.fields}
@@ -375,11 +380,43 @@ def delete(df: DataFrame, statement: S.Delete, parameters: dict | None = None) -
     return df.filter(~Scope(df, parameters).holds(statement.where)) if statement.where is not None else df.limit(0)
 
 
+def unique_violations(df: DataFrame, path: str) -> DataFrame:
+    """Values of a path that more than one document holds; an array counts once per element, missing ones not at all."""
+    value = Scope(df).value(S.expression(path))
+    many = V.elements(value)
+    cols = F.explode(many[0]) if many and value.kind == "arr" else output(value)
+    rows = df.select(cols.alias("value"))
+    rows = rows.select(F.to_json("value").alias("value")) if isinstance(rows.schema["value"].dataType, T.VariantType) else rows
+    return rows.filter(F.col("value").isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") > 1)
+
+
+class DuplicateValue(ValueError):
+    """A change that would leave two documents with one value of a unique path."""
+
+
 class Database:
     """Named collections. Queries return DataFrames; changes replace a collection's DataFrame."""
 
     def __init__(self, spark: SparkSession, **collections: DataFrame):
         self.spark, self.collections = spark, dict(collections)
+        #: unique paths of each collection
+        self.unique: dict[str, list[str]] = {}
+
+    def create_unique(self, name: str, path: str) -> None:
+        """From now on changes that would repeat a value of the path are rejected; so is this call if one is repeated already."""
+        self._check(name, self[name], [path])
+        self.unique.setdefault(name, []).append(path)
+
+    def _check(self, name: str, rows: DataFrame, paths: list[str]) -> None:
+        for path in paths:
+            repeated = unique_violations(rows, path).limit(1).collect()
+            if repeated:
+                raise DuplicateValue(f"{name}.{path} would hold {repeated[0].value!r} more than once")
+
+    def _replace(self, name: str, rows: DataFrame) -> None:
+        """The collection's new rows, if they meet its unique paths; else nothing changes."""
+        self._check(name, rows, self.unique.get(name, []))
+        self.collections[name] = rows
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.collections:
@@ -401,11 +438,11 @@ class Database:
             start = self.collections.get(statement.target)
             if start is None:
                 start = self.spark.sql(f"SELECT parse_json('{{}}') AS {DOC} LIMIT 0")
-            self.collections[statement.target] = insert(start, statement, parameters)
+            self._replace(statement.target, insert(start, statement, parameters))
             return len(statement.documents)
         df = self[statement.target]
         touched = self.find(statement.target, statement.where, parameters).count()
-        self.collections[statement.target] = (update if isinstance(statement, S.Update) else delete)(df, statement, parameters)
+        self._replace(statement.target, (update if isinstance(statement, S.Update) else delete)(df, statement, parameters))
         return touched
 
     def find(self, name: str, where=None, parameters: dict | None = None, limit: int | None = None) -> DataFrame:
@@ -427,20 +464,30 @@ class Database:
     def save_many(self, name: str, rows: DataFrame, id_field: str = "_id") -> None:
         """Upsert: rows of the collection with an id among the new ones are replaced."""
         old = self[name].join(rows.select(id_field).distinct(), id_field, "left_anti")
-        self.collections[name] = old.unionByName(rows, allowMissingColumns=True)
+        self._replace(name, old.unionByName(rows, allowMissingColumns=True))
+
+    def insert_many(self, name: str, rows: DataFrame) -> None:
+        """Adds rows as they are."""
+        self._replace(name, self[name].unionByName(rows, allowMissingColumns=True))
+
+    def delete_by_id(self, name: str, key, id_field: str = ID) -> bool:
+        there = self.exists(name, key, id_field)
+        self.execute(f"DELETE FROM {name} WHERE {id_field} = @id", {"id": key})
+        return there
+
+    def clear(self, name: str) -> None:
+        self.collections[name] = self[name].limit(0)
+
+    def stats(self, name: str) -> dict:
+        """Number of documents and of unique paths, and the partitions that a scan reads."""
+        df = self[name]
+        return {"documents": df.count(), "unique": len(self.unique.get(name, [])), "partitions": df.select(F.spark_partition_id().alias("p")).distinct().count()}
 
     def drop(self, name: str) -> bool:
         return self.collections.pop(name, None) is not None
 
     def unique_violations(self, name: str, path: str) -> DataFrame:
-        """Values of a path that more than one document holds; an array counts once per element, missing ones not at all."""
-        df = self[name]
-        value = Scope(df).value(S.expression(path))
-        many = V.elements(value)
-        cols = F.explode(many[0]) if many and value.kind == "arr" else output(value)
-        rows = df.select(cols.alias("value"))
-        rows = rows.select(F.to_json("value").alias("value")) if isinstance(rows.schema["value"].dataType, T.VariantType) else rows
-        return rows.filter(F.col("value").isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") > 1)
+        return unique_violations(self[name], path)
 
     def explain(self, text: str, parameters: dict | None = None) -> str:
         return self.query(text, parameters)._jdf.queryExecution().toString()

@@ -190,19 +190,10 @@ def d_schemaless_group(spark, sf_dir):
 
 @_query(
     "d_schemaless_order",
-    _EVENT_DOCS + "SELECT event_id FROM docs ORDER BY CASE WHEN absent THEN 0 WHEN nul THEN 1 ELSE 2 END, CASE WHEN absent OR nul THEN 0 ELSE k END, event_id LIMIT 3000",
-)
-def d_schemaless_order(spark, sf_dir):
-    db = D.Database(spark, events=events_as_documents(spark, sf_dir))
-    return db.query("SELECT TOINT(event_id) AS event_id FROM events ORDER BY props.k, event_id LIMIT 3000")
-
-
-@_query(
-    "d_schemaless_order_all",
     _EVENT_DOCS + "SELECT event_id FROM docs ORDER BY CASE WHEN absent THEN 0 WHEN nul THEN 1 ELSE 2 END, CASE WHEN absent OR nul THEN 0 ELSE k END, event_id",
 )
-def d_schemaless_order_all(spark, sf_dir):
-    """As d_schemaless_order, for the whole table."""
+def d_schemaless_order(spark, sf_dir):
+    """The whole table: missing, then null, then numbers."""
     db = D.Database(spark, events=events_as_documents(spark, sf_dir))
     return db.query("SELECT TOINT(event_id) AS event_id FROM events ORDER BY props.k, event_id")
 
@@ -353,3 +344,53 @@ def d_json_round_trip(spark, sf_dir):
 def d_linq_terminals(spark, sf_dir):
     q = B.Query(read_table(spark, sf_dir, "orders"), "orders").where(B.eq("o_orderstatus", "F"))
     return q.select("COUNT(*) AS n", "ROUND(SUM(o_totalprice), 2) AS total", "ROUND(AVG(o_totalprice), 4) AS mean", "MIN(o_totalprice) AS low", "MAX(o_totalprice) AS high").df()
+
+
+@_query("d_like_nulls", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type LIKE 'p%' END AS starts, event_id % 3 <> 0 AND event_type NOT LIKE 'p%' AS kept, event_id % 3 <> 0 AS own FROM events")
+def d_like_nulls(spark, sf_dir):
+    """LIKE and NOT LIKE over texts and nulls, and a pattern from a column."""
+    label = F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("label")
+    db = D.Database(spark, events=read_table(spark, sf_dir, "events").select("event_id", label))
+    rows = db.query("SELECT event_id, label LIKE 'p%' AS starts FROM events")
+    for name, where in (("kept", "label NOT LIKE 'p%'"), ("own", "label LIKE label")):
+        met = db.query(f"SELECT event_id, TRUE AS {name} FROM events WHERE {where}")
+        rows = rows.join(met, "event_id", "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+    return rows
+
+
+@_query("d_like_kinds", _EVENT_DOCS + "SELECT count(*) AS rows, 0::BIGINT AS met FROM docs")
+def d_like_kinds(spark, sf_dir):
+    """Of schemaless numbers, nulls and missing values none meets LIKE or NOT LIKE."""
+    db = D.Database(spark, events=events_as_documents(spark, sf_dir))
+    met = db.query("SELECT COUNT(*) AS met FROM events WHERE props.k LIKE '%' OR props.k NOT LIKE '1%'")
+    return db.query("SELECT COUNT(*) AS rows FROM events").crossJoin(met)
+
+
+@_query("d_group_big_integers", "SELECT (9007199254740992 + o_orderkey % 4)::VARCHAR AS v, count(*) AS n FROM orders GROUP BY 1")
+def d_group_big_integers(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders").select(F.concat(F.lit('{"n": '), (F.lit(2**53) + F.col("o_orderkey") % 4).cast("string"), F.lit("}")).alias("value"))
+    return D.Database(spark, t=D.from_json_lines(o)).query("SELECT TOSTRING(n) AS v, COUNT(*) AS n FROM t GROUP BY n")
+
+
+@_query("d_insert_ids", "SELECT count(*) + 2 AS documents, count(*) + 2 AS ids FROM nation")
+def d_insert_ids(spark, sf_dir):
+    """Two documents without an id are added to those that have one."""
+    rows = read_table(spark, sf_dir, "nation").select(F.to_json(F.struct(F.col("n_nationkey").cast("string").alias("_id"), "n_name")).alias("value"))
+    db = D.Database(spark, nation=D.from_json_lines(rows))
+    db.execute("INSERT INTO nation VALUES {n_name: 'ONE'}, {n_name: 'TWO'}")
+    ids = db.query("SELECT TOSTRING(_id) AS i FROM nation")
+    return ids.agg(F.count(F.lit(1)).alias("documents"), F.countDistinct("i").alias("ids"))
+
+
+@_query("d_unique_reject", "SELECT count(*) AS documents, true AS rejected FROM customer")
+def d_unique_reject(spark, sf_dir):
+    """An update and an insert that would repeat a unique value leave the collection as it was."""
+    db = D.Database(spark, customer=read_table(spark, sf_dir, "customer"))
+    db.create_unique("customer", "c_custkey")
+    rejected = 0
+    for text in ("UPDATE customer SET c_custkey = 1 WHERE c_custkey = 2", "INSERT INTO customer VALUES {c_custkey: 1, c_name: 'twice'}"):
+        try:
+            db.execute(text)
+        except D.DuplicateValue:
+            rejected += 1
+    return db.query("SELECT COUNT(*) AS documents FROM customer").withColumn("rejected", F.lit(rejected == 2))
