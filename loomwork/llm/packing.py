@@ -100,13 +100,13 @@ def pack(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode = tokens.encoder(vocabulary, end_id).encode
+        encode = tokens.encoder(vocabulary, end_id).encode_column
         bins = OpenSequences(size, places)
         base = TaskContext.get().partitionId() * _PER_PARTITION
         for batch in (x for b in batches for x in tokens.slices(b)):
             rows: list[tuple] = []
             held: list[bytes] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 for number, (start, length) in enumerate(cuts(len(ids) // 4, size)):
                     part = ids[4 * start : 4 * (start + length)]
                     sequence, offset = bins.place(length)

@@ -57,10 +57,10 @@ def write(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode = tokens.encoder(vocabulary, end_id).encode
+        encode = tokens.encoder(vocabulary, end_id).encode_column
         part, start = TaskContext.get().partitionId(), 0
         for batch in (x for b in batches for x in tokens.slices(b)):
-            found = encode(batch.column(1).to_pylist())
+            found = encode(batch.column(1))
             sizes = np.asarray([len(x) // 4 for x in found], np.int64)
             ends = np.cumsum(sizes)
             flat = pa.array(np.frombuffer(b"".join(found), "<u4").astype(np.int32))

@@ -12,6 +12,13 @@ from __future__ import annotations
 import os
 import re
 
+import numpy as np
+import pyarrow as pa
+
+from loomwork.llm import spans
+
+#: Places of the table of pieces, as a power of 2, and the ids it holds.
+_SLOTS, _POOL = 21, 8_000_000
 #: A blank beside another white-space character, or at either end.
 _UNSAFE = re.compile(r" \s|\A | \Z")
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
@@ -38,7 +45,7 @@ def default_vocabulary() -> str:
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids as bytes; keeps at most about ``kept`` pieces."""
 
-    def __init__(self, vocabulary: str, end_id: int | None = None, kept: int = 500_000):
+    def __init__(self, vocabulary: str, end_id: int | None = None, kept: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -49,18 +56,17 @@ class Encoder:
         #: pieces in two generations: when the younger is full, the older goes, but for what is used again
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        #: a piece's hash, the place of its ids in the pool, and their number
+        self.keys, self.place, self.size = np.zeros(1 << _SLOTS, np.uint64), np.zeros(1 << _SLOTS, np.int64), np.zeros(1 << _SLOTS, np.uint16)
+        self.pool, self.used = np.zeros(0, np.uint32), 0
         self.line_end = int.from_bytes(self._whole(["\n"])[0], "little")
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
     def _learn(self, plain: set[str], other: set[str]) -> None:
         """Encode new pieces, those of plain texts as lines of one text, in which a lone line end is a piece of its own."""
-        import numpy as np
-
         # pieces of plain texts hold white space only at their start
         lines = [x for x in plain if x[0] > "\n"]
         single = [*other, *plain.difference(lines)]
@@ -108,6 +114,111 @@ class Encoder:
         return [next(uncut) + end if ids is None else b"".join(ids) + end for ids in found]
 
 
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces of plain texts, strung together, and how many each has."""
+        found, sizes = [], []
+        for at in range(0, len(pieces), 8192):
+            part = pieces[at : at + 8192]
+            if "\n" in part:
+                raw = self._whole(part)
+                found += [np.frombuffer(x, "<u4") for x in raw]
+                sizes.append(np.fromiter((len(x) // 4 for x in raw), np.int64, len(raw)))
+                continue
+            ids = np.frombuffer(self._whole(["\n".join(part)])[0], "<u4")
+            ends = np.flatnonzero(ids == self.line_end)
+            found.append(np.delete(ids, ends))
+            sizes.append(np.diff(np.concatenate([[-1], ends, [len(ids)]])) - 1)
+        return np.concatenate(found), np.concatenate(sizes)
+
+    def encode_column(self, column) -> list[bytes]:
+        """Ids of each text of an Arrow string column; null counts as empty.
+
+        Plain texts are cut all at once, each distinct piece of the batch is
+        looked up once by its 64-bit hash, and new ones are encoded together.
+        Other texts go through `encode`. The table of pieces has a fixed size:
+        a new piece takes the place of another, which only costs time.
+        """
+        data, offsets = spans.texts(column)
+        n = len(offsets) - 1
+        simple = _simple(data, offsets)
+        out: list[bytes] = [b""] * n
+        rest = np.flatnonzero(~simple).tolist()
+        for i, ids in zip(rest, self.encode(column.take(pa.array(rest, pa.int64())).to_pylist()) if rest else (), strict=True):
+            out[i] = ids
+        if len(rest) == n:
+            return out
+        starts, ends = _cut(data, offsets, simple)
+        owner = spans.owners(offsets, starts)
+        keys = spans.hashes(data, starts, ends)
+        if self.used > _POOL // 2:
+            self.keys[:], self.used = 0, 0
+        slot = keys >> np.uint64(64 - _SLOTS)
+        place, sizes = self.place[slot], self.size[slot].astype(np.int64)
+        miss = np.flatnonzero(self.keys[slot] != keys)
+        if len(miss):
+            new, first, back = np.unique(keys[miss], return_index=True, return_inverse=True)
+            raw, first = data.tobytes(), miss[first]
+            ids, counts = self._ids([raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+            if self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(ids), _POOL), np.uint32)])
+            self.pool[self.used : self.used + len(ids)] = ids
+            at = self.used + np.cumsum(counts) - counts
+            place[miss], sizes[miss] = at[back], counts[back]
+            self.used += len(ids)
+            short = counts < 1 << 16
+            slot = new[short] >> np.uint64(64 - _SLOTS)
+            self.keys[slot], self.place[slot], self.size[slot] = new[short], at[short], counts[short]
+        total = np.cumsum(sizes)
+        at = np.repeat(place - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)
+        flat = self.pool[at].astype("<u4").tobytes()
+        counts = np.bincount(owner, sizes, n).astype(np.int64)
+        stops = 4 * np.cumsum(counts)
+        for i in np.flatnonzero(simple).tolist():
+            out[i] = flat[stops[i] - 4 * counts[i] : stops[i]] + self.end
+        return out
+
+
+#: Classes of bytes in plain texts: letters (with all bytes of two-byte Latin ones), others, and what makes a text not plain.
+_LETTER, _OTHER = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = True
+_OTHER[0x21:0x7F] = True
+_OTHER[0x27] = False
+_OTHER &= ~_LETTER
+_ODD = ~(_LETTER | _OTHER)
+_ODD[[0x0A, 0x20]] = False
+
+
+def _simple(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each text has only plain characters, single blanks inside, and line ends only before letters."""
+    n = len(offsets) - 1
+    if not len(data):
+        return np.ones(n, bool)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    after = np.append(data[1:], 0)
+    last, space = edge[1:], data == 0x20
+    odd = _ODD[data]
+    odd |= space & (edge[:-1] | last | (after == 0x20) | (after == 0x0A))
+    odd |= (data == 0x0A) & (last | ~_LETTER[after])
+    odd |= (data == 0xC3) & ((after == 0x97) | (after == 0xB7)) | (data == 0xC9) & (after >= 0x90)
+    out = np.ones(n, bool)
+    out[spans.owners(offsets, np.flatnonzero(odd))] = False
+    return out
+
+
+def _cut(data: np.ndarray, offsets: np.ndarray, simple: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the pieces of simple texts: runs of letters or of others with the blank before them, and line ends."""
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    letter, space, line = _LETTER[data], data == 0x20, data == 0x0A
+    before = lambda x: np.concatenate([[False], x[:-1]])
+    begins = edge[:-1] | space | line | before(line) | ((letter != before(letter)) & ~before(space))
+    starts = np.flatnonzero(begins)
+    ends = np.append(starts[1:], len(data))
+    own = simple[spans.owners(offsets, starts)] if len(starts) else np.zeros(0, bool)
+    return starts[own], ends[own]
+
+
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
@@ -121,8 +232,6 @@ def encoder(vocabulary: str, end_id: int | None = None) -> Encoder:
 
 def slices(batch, most: int = 256):
     """Smaller record batches, so that a few long texts don't pile up at once."""
-    import pyarrow as pa
-
     for at in range(0, batch.num_rows, most):
         yield batch.slice(at, most)
     pa.default_memory_pool().release_unused()

@@ -2,11 +2,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import DATA
 from pyspark.sql import functions as F
 
-from loomwork.llm import packing, queries, token_files, tokens
+from loomwork.llm import packing, queries, spans, token_files, tokens
 
 
 @pytest.fixture(scope="module")
@@ -31,6 +32,40 @@ def test_encoder_is_exact(plain):
         assert encoder.encode(texts) == [np.asarray(plain(t), "<u4").tobytes() for t in texts]
 
 
+def test_columns_are_encoded_exactly(plain, monkeypatch):
+    """Plain texts and others in one column, also with a table so small that pieces often take each other's places."""
+    monkeypatch.setattr(tokens, "_SLOTS", 4)
+    monkeypatch.setattr(tokens, "_POOL", 500)
+    rng = random.Random(2)
+    parts = ["a", "Wort", "été", "ß", "x" * 30, " ", " b", " c", ".", ",", "12", "\n", "ɏ", "É!", "-", "<|endoftext|>"]
+    odd = ["  ", "\t", "'s", "×", "÷", "ɐ", "²", "漢", "\r\n", "\x7f", "€", "\u00a0"]
+    encoder = tokens.Encoder(tokens.default_vocabulary(), 2)
+    simple = 0
+    for _ in range(60):
+        texts = ["".join(rng.choices(parts + odd * (rng.random() < 0.3), k=rng.randint(0, 25))) for _ in range(50)] + [None, "", " a", "a ", "a\nb", "a\n b", "a\n", "\na"]
+        column = pa.array(["left out", *texts]).slice(1)
+        assert encoder.encode_column(column) == [np.asarray(plain(t), "<u4").tobytes() for t in texts]
+        simple += tokens._simple(*spans.texts(column)).sum()
+    assert simple > 1000
+    assert encoder.encode_column(pa.array([], pa.string())) == [] and encoder.encode_column(pa.array([None, None], pa.string())) == [b"\x02\0\0\0"] * 2
+
+
+def test_spans_are_hashed_by_their_bytes_alone(monkeypatch):
+    monkeypatch.setattr(spans, "_BLOCK", 64)
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abA", k=rng.choice((1, 2, 3, 60, 64, 65, 200)))) for _ in range(400)]
+    texts = [" ".join(words[i : i + 7]) + rng.choice(("", " ", "\n")) for i in range(0, 400, 7)] + ["", None]
+    data, offsets = spans.texts(pa.array(texts))
+    starts, ends = spans.words(data, offsets)
+    found = [bytes(data[a:b]).decode() for a, b in zip(starts, ends, strict=True)]
+    assert found == [w for t in texts for w in (t or "").split()]
+    for table, key in ((spans.EXACT, str), (spans.LOWER, str.lower)):
+        by = {}
+        for w, h in zip(found, spans.hashes(data, starts, ends, table).tolist(), strict=True):
+            assert by.setdefault(key(w), h) == h
+        assert len(set(by.values())) == len(by)
+
+
 def whole(rows):
     """Documents put together again from the pieces of packed rows with ids."""
     out = {}
