@@ -80,6 +80,17 @@ class Centroids:
         return self.points[cell]
 
 
+def in_blocks(rows: DataFrame, asked: DataFrame, *, most: int = 20_000, most_asked: int = 5_000):
+    """Rows and queries of a cell, both cut in blocks by their ids; every block of rows meets every block of queries."""
+    count = lambda df, most_, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / most_).cast("int").alias(name))
+    sizes = stored(count(rows, most, "n").join(count(asked, most_asked, "m"), "cell"), "cell-sizes")
+    own = lambda name, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(name)).cast("int")
+    each = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    left = rows.join(sizes, "cell").withColumn("i", own("n", 0)).withColumn("j", each("m")).drop("n", "m")
+    right = asked.join(sizes, "cell").withColumn("j", own("m", 1)).withColumn("i", each("n")).drop("n", "m")
+    return left.groupBy("cell", "i", "j").cogroup(right.groupBy("cell", "i", "j"))
+
+
 @dataclass
 class CellIndex:
     """Rows (cell, id, v or codes) under a coarse quantizer; codes hold residuals of ``encoder``, or vectors as they are."""
@@ -120,7 +131,7 @@ class CellIndex:
         n = self.table.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
         return n.agg(F.min("n").alias("min"), F.max("n").alias("max"), F.avg("n").alias("mean"), (F.lit(self.coarse.cells) - F.count(F.lit(1))).alias("empty"))
 
-    def _found(self, queries: DataFrame, probes: int, where: Column | None, keep: Callable, block: int = 20_000) -> DataFrame:
+    def _found(self, queries: DataFrame, probes: int, where: Column | None, keep: Callable) -> DataFrame:
         coarse, encoder, size, residual, metric = self.coarse, self.encoder, self.size, self.residual, self.metric
         probes = max(1, min(probes, coarse.cells))
 
@@ -129,9 +140,13 @@ class CellIndex:
 
             for batch in batches:
                 x = _to_matrix(batch.column(1), size)
-                cells = coarse.nearest(x, probes) if len(x) else np.zeros((0, 1), int)
+                cells = np.zeros((0, 1), int)
+                if len(x) and metric == "ip" and isinstance(coarse, Centroids):
+                    cells = np.argsort(-(x @ coarse.points.T), axis=1, kind="stable")[:, :probes]
+                elif len(x):
+                    cells = coarse.nearest(x, probes)
                 at = pa.array(np.repeat(np.arange(len(x)), cells.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel().astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)], ["p", "query_id", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel().astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)], ["cell", "id", "v"])
 
         def search(key, mine, asked):
             import pyarrow as pa
@@ -148,20 +163,15 @@ class CellIndex:
                 held = codes.astype(np.float16) if getattr(encoder, "kind", "") == "fp16" else codes.astype(int)
                 x = encoder.decode(held) + (coarse.centre(key[0].as_py()) if residual else 0)
             out = []
-            for query, q in zip(asked.column("query_id").to_numpy(), _to_matrix(asked.column("q"), size), strict=True):
+            for query, q in zip(asked.column("id").to_numpy(), _to_matrix(asked.column("v"), size), strict=True):
                 d = vectors._exact(metric, q[None], x)
                 at = keep(d)
                 out.append((np.full(len(at), query), ids[at], d[at]))
             return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], schema=schema)
 
         rows = self.table.filter(where) if where is not None else self.table
-        # big cells are cut into blocks, and queries go to each
-        sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-        mine = rows.join(sizes, "cell").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("cell", "b", "id", "codes")
-        asked = queries.select(F.col("id").cast("long"), "v").mapInArrow(probed, "p int, query_id long, q array<double>")
-        asked = asked.join(sizes.withColumnsRenamed({"cell": "p", "blocks": "n"}), "p").withColumn("c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        asked = asked.select("p", "c", "query_id", "q")
-        return mine.groupBy("cell", "b").cogroup(asked.groupBy("p", "c")).applyInArrow(search, _FOUND)
+        asked = queries.select(F.col("id").cast("long"), "v").mapInArrow(probed, "cell int, id long, v array<double>")
+        return in_blocks(rows.select("cell", "id", "codes"), asked).applyInArrow(search, _FOUND)
 
     def search(self, queries: DataFrame, k: int, *, probes: int = 1, where: Column | None = None) -> DataFrame:
         """The k nearest rows in each query's nearest cells; all cells give the exact answer over what is stored."""
@@ -277,12 +287,22 @@ class GraphIndex:
     beam: int = 64
     shard: int = 5_000
     encoder: object | None = None
+    metric: str = "l2"
+
+    def _walked(self, x: np.ndarray, rows: bool) -> np.ndarray:
+        """Points whose squared distances order like the metric: unit vectors, or rows lifted to one length for inner products."""
+        if self.metric == "cosine":
+            return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        if self.metric == "ip":
+            square = (x * x).sum(1)
+            return np.hstack([x, np.sqrt(square.max(initial=0) - square)[:, None] if rows else np.zeros((len(x), 1))])
+        return x
 
     def search(self, queries: DataFrame, k: int, *, width: int = 64, where: Column | None = None) -> DataFrame:
-        """``where``: the walk uses all rows, and only members are returned."""
+        """``where``: the walk uses all rows, and only members are returned; where it meets too few, all members are compared."""
         import pyarrow as pa
 
-        size, links, beam, encoder = self.size, self.links, self.beam, self.encoder
+        size, links, beam, encoder, metric, walked = self.size, self.links, self.beam, self.encoder, self.metric, replace(self, rows=None)._walked
         member = where if where is not None else F.lit(True)
         n, n_asked = (max(1, -(-df.count() // rows)) for df, rows in ((self.rows, self.shard), (queries, 50_000)))
         each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
@@ -300,13 +320,16 @@ class GraphIndex:
             if encoder is not None:
                 x = encoder.decode(encoder.encode(x))
             ids, allowed = table.column("id").to_numpy(), table.column("m").to_numpy()
-            graph, out = Graph(x, links, beam).build(), []
-            for query, q in zip(block.column("query_id").to_numpy(), _to_matrix(block.column("q"), size), strict=True):
-                found = [(d, i) for d, i in graph.search(q, max(width, k), max(width, k)) if allowed[i]][:k]
-                out += [(query, ids[i], d) for d, i in found]
+            graph, out, members = Graph(walked(x, True), links, beam).build(), [], np.flatnonzero(allowed)
+            raw = _to_matrix(block.column("q"), size)
+            for query, q, start in zip(block.column("query_id").to_numpy(), raw, walked(raw, False), strict=True):
+                found = [i for _, i in graph.search(start, max(width, k), max(width, k)) if allowed[i]][:k]
+                if len(found) < min(k, len(members)):
+                    found = members
+                out += [(query, i, d) for i, d in zip(ids[found].tolist(), vectors._exact(metric, q[None], x[found]).tolist(), strict=True)]
             return pa.table([list(c) for c in zip(*out, strict=True)], schema=schema) if out else schema.empty_table()
 
-        return vectors.best(rows.groupBy("s", "a").cogroup(asked.groupBy("s2", "a2")).applyInArrow(run, _FOUND), k)
+        return vectors.best(rows.groupBy("s", "a").cogroup(asked.groupBy("s2", "a2")).applyInArrow(run, _FOUND), k, metric)
 
 
 def refined(found: DataFrame, base: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
@@ -405,7 +428,9 @@ def factory(name: str, rows: DataFrame, *, metric: str = "l2", most: int = 65_53
     out = Pipeline(transforms, None, rows, refine, metric, ids)
     ready = out._apply(rows)
     if graph is not None:
-        out.index = GraphIndex(ready, x.shape[1], graph, encoder=encoder)
+        if coarse is not None or metric not in ("l2", "ip", "cosine"):
+            raise ValueError(f"no graph over cells or for the metric {metric!r}")
+        out.index = GraphIndex(ready, x.shape[1], graph, encoder=encoder, metric=metric)
     elif coarse is None and encoder is None:
         out.index = ready
     else:
@@ -440,15 +465,32 @@ def unpacked(words: np.ndarray) -> np.ndarray:
 
 
 def binary_search(codes: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, *, probes: int = 1) -> DataFrame:
-    """k nearest codes by differing bits within each query's nearest cells."""
+    """k nearest codes (id, bits array<long>) by differing bits within each query's nearest cells, block by block."""
+    import pyarrow as pa
 
-    def cells(column, width: int):
-        points = Centroids(centroids)
-        return F.pandas_udf(lambda s: s.map(lambda w: points.nearest(unpacked(np.asarray([w], np.int64)), width)[0].tolist()), "array<int>")(column)
+    points = Centroids(centroids)
+    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
 
-    from loomwork.functions import distance
-
-    held = codes.withColumn("cell", cells(F.col("bits"), 1)[0]).select("cell", "id", "bits")
-    asked = queries.select(F.col("id").alias("query_id"), F.col("bits").alias("q"), F.explode(cells(F.col("bits"), probes)).alias("cell"))
-    rows = held.join(asked, "cell").select("query_id", "id", distance.hamming(F.col("bits"), F.col("q")).alias("distance"))
-    return vectors.best(rows, k)
+    def cells(rows: DataFrame, width: int) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                words = vectors._words(batch.column(1)).view(np.int64)
+                near = points.nearest(unpacked(words), width) if len(words) else np.zeros((0, 1), int)
+                at = pa.array(np.repeat(np.arange(len(words)), near.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)], ["cell", "id", "bits"])
+
+        return rows.select(F.col("id").cast("long"), "bits").mapInArrow(run, "cell int, id long, bits array<long>")
+
+    def search(mine, asked):
+        if not mine.num_rows or not asked.num_rows:
+            return schema.empty_table()
+        ids, held = mine.column("id").to_numpy(), vectors._words(mine.column("bits").combine_chunks())
+        out = []
+        for query, q in zip(asked.column("id").to_numpy(), vectors._words(asked.column("bits").combine_chunks()), strict=True):
+            far = np.bitwise_count(held ^ q).sum(1).astype(float)
+            at = np.flatnonzero(far <= np.partition(far, k - 1)[k - 1]) if len(far) > k else np.arange(len(far))
+            out.append((np.full(len(at), query), ids[at], far[at]))
+        return pa.table([np.concatenate(x) for x in zip(*out, strict=True)], schema=schema)
+
+    found = in_blocks(cells(codes, 1), cells(queries, probes)).applyInArrow(search, _FOUND)
+    return vectors.best(found.withColumn("distance", F.col("distance").cast("int")), k)

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomwork.functions import glob
+from loomwork.session import sized, stored
 
 LAST = (1 << 63) - 1
 
@@ -128,12 +129,14 @@ class Group:
         return out
 
     def auto_claim(self, consumer: str, now: int, *, min_idle: int, start: tuple[int, int] = (0, 0), count: int = 100, there=None):
-        """(claimed, next start): looks at no more than ten times ``count`` pending ids."""
+        """(claimed, next start): looks at no more than ten times ``count`` pending ids; those that are trimmed are dropped and counted too."""
         waiting = [e for e in sorted(self.pending) if e >= start]
         claimed: list[tuple[int, int]] = []
+        dropped = 0
         for i, e in enumerate(waiting[: 10 * count]):
-            if len(claimed) == count:
+            if len(claimed) + dropped == count:
                 return claimed, e
+            dropped += there is not None and e not in there
             claimed += self.claim([e], consumer, now, min_idle=min_idle, there=there)
             last = i
         rest = waiting[last + 1 :] if waiting else []
@@ -190,19 +193,108 @@ def fold_groups(events: DataFrame) -> DataFrame:
     return events.repartition("stream", "grp").sortWithinPartitions(*order).mapInPandas(run, STATE)
 
 
+_ENTRY = ["stream", "grp", "ms", "seq"]
+
+
+def pending_summary(state: DataFrame) -> DataFrame:
+    """Of each group's pending entries: their number, first and last id, and how many each consumer has."""
+    by = state.groupBy("stream", "grp", "consumer").agg(F.count(F.lit(1)).alias("n"), F.min(_id()).alias("first"), F.max(_id()).alias("last"))
+    held = F.map_from_entries(F.array_sort(F.collect_list(F.struct("consumer", "n")))).alias("consumers")
+    return by.groupBy("stream", "grp").agg(F.sum("n").alias("pending"), F.min("first").alias("first"), F.max("last").alias("last"), held)
+
+
+def pending_range(state: DataFrame, now: int, *, start: str = "-", stop: str = "+", count: int | None = None, consumer: str | None = None, min_idle: int = 0) -> DataFrame:
+    """Pending entries of a range of ids with their idle time, the first ``count`` of each group."""
+    rows = between(state.withColumn("idle", F.lit(now) - F.col("since")).filter(F.col("idle") >= min_idle), start, stop)
+    rows = rows.filter(F.col("consumer") == consumer) if consumer is not None else rows
+    if count is None:
+        return rows
+    return rows.withColumn("__n", F.row_number().over(W.partitionBy("stream", "grp").orderBy("ms", "seq"))).filter(F.col("__n") <= count).drop("__n")
+
+
+def claimed(
+    state: DataFrame, asked: DataFrame, now: int, *, min_idle: int = 0, force: bool = False, just_id: bool = False,
+    retries: int | None = None, idle: int = 0, entries: DataFrame | None = None,
+) -> DataFrame:
+    """The pending entries after a claim of (stream, grp, ms, seq, consumer), with a column ``claimed``.
+
+    Entries change hands if they are pending and idle for long enough, or, with
+    ``force``, if nobody holds them. With ``entries`` (stream, ms, seq), asked
+    ids that are no longer there leave the pending ones.
+    """
+    both = state.join(asked.withColumnRenamed("consumer", "__to"), _ENTRY, "full")
+    there = F.lit(True)
+    if entries is not None:
+        both = both.join(entries.select("stream", "ms", "seq", F.lit(True).alias("__there")), ["stream", "ms", "seq"], "left")
+        there = F.coalesce("__there", F.lit(False))
+    held, wanted = F.col("since").isNotNull(), F.col("__to").isNotNull()
+    won = wanted & there & F.when(held, F.lit(now) - F.col("since") >= min_idle).otherwise(F.lit(force))
+    deliveries = F.lit(retries) if retries is not None else F.coalesce("deliveries", F.lit(0)) + int(not just_id)
+    rows = both.filter((held | won) & ~(wanted & ~there)).withColumn("claimed", won)
+    return rows.select(
+        *_ENTRY, F.when(F.col("claimed"), F.col("__to")).otherwise(F.col("consumer")).alias("consumer"),
+        F.when(F.col("claimed"), F.lit(now - idle)).otherwise(F.col("since")).cast("long").alias("since"),
+        F.when(F.col("claimed"), deliveries).otherwise(F.col("deliveries")).cast("long").alias("deliveries"), "claimed",
+    )
+
+
+def auto_claimed(state: DataFrame, consumer: str, now: int, *, min_idle: int, start: str = "-", count: int = 100, entries: DataFrame | None = None) -> DataFrame:
+    """Of each group (stream, grp): the ids claimed, those dropped as they are trimmed, and where the next sweep starts (0-0 at the end).
+
+    A sweep looks at the first ten times ``count`` pending ids from ``start``
+    and ends after ``count`` claimed or dropped ones, so only so many rows of a
+    group are ranked, however many it has.
+    """
+    order = W.partitionBy("stream", "grp").orderBy("ms", "seq")
+    rows = between(state, start, "+").withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= 10 * count + 1)
+    there = F.lit(True)
+    if entries is not None:
+        rows = rows.join(entries.select("stream", "ms", "seq", F.lit(True).alias("__there")), ["stream", "ms", "seq"], "left")
+        there = F.coalesce("__there", F.lit(False))
+    rows = rows.withColumn("there", there).withColumn("hit", (~there | (F.lit(now) - F.col("since") >= min_idle)).cast("int"))
+    rows = rows.withColumn("before", F.coalesce(F.sum("hit").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    seen = (F.col("before") < count) & (F.col("__n") <= 10 * count)
+    ids = lambda test: F.array_sort(F.collect_list(F.when(seen & test, _id())))
+    out = rows.groupBy("stream", "grp").agg(
+        ids((F.col("hit") == 1) & F.col("there")).alias("claimed"), ids(~F.col("there")).alias("deleted"), F.min(F.when(~seen, _id())).alias("next")
+    )
+    none = F.struct(F.lit(0).cast("long").alias("ms"), F.lit(0).cast("long").alias("seq"))
+    return out.withColumn("next", F.coalesce("next", none)).withColumn("consumer", F.lit(consumer))
+
+
+def group_info(events: DataFrame, state: DataFrame) -> DataFrame:
+    """Of each group in a log without setid: its consumers, pending entries and the last id that was delivered."""
+    done = events.filter(F.col("op").isin("read", "history", "claim"))
+    consumers = done.groupBy("stream", "grp").agg(F.countDistinct("consumer").alias("consumers"), F.max(F.when(F.col("op") == "read", _id())).alias("last"))
+    pending = state.groupBy("stream", "grp").agg(F.count(F.lit(1)).alias("pending"))
+    return consumers.join(pending, ["stream", "grp"], "left").withColumn("pending", F.coalesce("pending", F.lit(0)))
+
+
+def consumer_info(events: DataFrame, state: DataFrame, now: int) -> DataFrame:
+    """Of each consumer: its pending entries and the time since it last did anything."""
+    by = ["stream", "grp", "consumer"]
+    seen = events.filter(F.col("op").isin("read", "history", "claim")).groupBy(*by).agg((F.lit(now) - F.max("at")).alias("idle"))
+    pending = state.groupBy(*by).agg(F.count(F.lit(1)).alias("pending"))
+    return seen.join(pending, by, "left").withColumn("pending", F.coalesce("pending", F.lit(0)))
+
+
 def delivered(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """(message_id, deliveries): subscriptions (subscriber, channel, pattern) that each message's channel meets, 0 included.
 
     Exact subscriptions meet messages by equality; patterns, which are glob
     texts, are matched against the distinct channels only.
     """
+
+    def compiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield rows.assign(regex=[glob.regex(p) for p in rows["pattern"]])
+
     exact = messages.join(subscriptions.filter("channel is not null").select("subscriber", "channel"), "channel").select("message_id")
-    patterns = [r.pattern for r in subscriptions.filter("pattern is not null").select("pattern").distinct().collect()]
-    channels = messages.select("channel").distinct()
-    met = [channels.filter(F.col("channel").rlike(glob.regex(p))).withColumn("pattern", F.lit(p)) for p in patterns]
-    out = exact
-    for pairs in met:
-        by_pattern = pairs.join(subscriptions.select("subscriber", "pattern"), "pattern")
-        out = out.unionByName(messages.join(by_pattern.select("channel", "subscriber"), "channel").select("message_id"))
-    counts = out.groupBy("message_id").agg(F.count(F.lit(1)).alias("deliveries"))
+    patterns = subscriptions.filter("pattern is not null").groupBy("pattern").agg(F.count(F.lit(1)).alias("times"))
+    patterns = sized(patterns.mapInPandas(compiled, "pattern string, times long, regex string"), 10_000)
+    met = messages.select("channel").distinct().join(patterns, F.call_function("rlike", F.col("channel"), F.col("regex")))
+    met = met.groupBy("channel").agg(F.sum("times").alias("times"))
+    by_pattern = messages.join(met, "channel").select("message_id", "times")
+    out = exact.withColumn("times", F.lit(1).cast("long")).unionByName(by_pattern)
+    counts = out.groupBy("message_id").agg(F.sum("times").alias("deliveries"))
     return messages.select("message_id").join(counts, "message_id", "left").select("message_id", F.coalesce("deliveries", F.lit(0)).alias("deliveries"))

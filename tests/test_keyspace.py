@@ -129,3 +129,36 @@ def test_consumer_group_rules():
     assert g.claim([(0, 0)], "z", 60) == [] and g.claim([(0, 0)], "z", 60, force=True, retries=7) == [(0, 0)] and g.pending[0, 0].deliveries == 7
     assert g.auto_claim("q", 1000, min_idle=1, count=2) == ([(0, 0), (1, 0)], (3, 0))
     assert [e for e, _ in g.waiting(1000, min_idle=500)] == [(3, 0), (4, 0)]
+
+
+@pytest.mark.parametrize("how", [{}, {"force": True}, {"just_id": True}, {"retries": 7, "idle": 500, "force": True}, {"min_idle": 60}])
+def test_claims_as_a_table_agree_with_a_single_group(spark, how):
+    group = streams.Group()
+    entries = [(i, 0) for i in range(1, 13)]
+    group.read_new(entries[:6], "a", 10)
+    group.read_new(entries[:9], "b", 50)
+    state = [("s", "g", *e, p.consumer, p.since, p.deliveries) for e, p in group.pending.items()]
+    state = spark.createDataFrame(state, streams.STATE)
+    asked = [(2, 0), (4, 0), (8, 0), (11, 0), (5, 0)]
+    left = [e for e in entries if e != (4, 0)]
+    table = spark.createDataFrame([("s", "g", *e, "c") for e in asked], "stream string, grp string, ms long, seq long, consumer string")
+    got = streams.claimed(state, table, 100, entries=spark.createDataFrame([("s", *e) for e in left], "stream string, ms long, seq long"), **how).collect()
+    won = group.claim(asked, "c", 100, there=set(left), **how)
+    assert sorted((r.ms, r.seq) for r in got if r.claimed) == sorted(won)
+    assert {(r.ms, r.seq): (r.consumer, r.since, r.deliveries) for r in got} == {e: (p.consumer, p.since, p.deliveries) for e, p in group.pending.items()}
+
+
+def test_sweeps_count_what_is_trimmed(spark):
+    """Two pending ids are no longer in the stream: a sweep of two ends after them, the next takes the rest."""
+    entries = [(i, 0) for i in range(1, 6)]
+    group = streams.Group()
+    group.read_new(entries, "dead", 0)
+    state = spark.createDataFrame([("s", "g", *e, p.consumer, p.since, p.deliveries) for e, p in group.pending.items()], streams.STATE)
+    there = spark.createDataFrame([("s", *e) for e in entries[2:]], "stream string, ms long, seq long")
+    first = streams.auto_claimed(state, "c", 300, min_idle=60, count=2, entries=there).first()
+    assert not first.claimed and [tuple(x) for x in first.deleted] == entries[:2] and tuple(first.next) == (3, 0)
+    claimed, start = group.auto_claim("c", 300, min_idle=60, count=2, there=set(entries[2:]))
+    assert claimed == [] and start == (3, 0)
+    rest = streams.auto_claimed(state, "c", 300, min_idle=60, start="3-0", count=10, entries=there).first()
+    assert [tuple(x) for x in rest.claimed] == entries[2:] and tuple(rest.next) == (0, 0)
+    assert group.auto_claim("c", 300, min_idle=60, start=start, count=10, there=set(entries[2:])) == (entries[2:], (0, 0))

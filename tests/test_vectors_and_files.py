@@ -178,7 +178,38 @@ def test_sparse_vectors_hold_all_words(spark, tmp_path):
     for q, mine in words.items():
         scores = sorted((-sum(n * other[w] for w, n in mine.items()), b) for b, other in words.items() if mine.keys() & other.keys())
         want += [(q, rank, b, -s) for rank, (s, b) in enumerate(scores[:3], 1)]
-    got = catalog.QUERIES["v_sparse_ip_words"](spark, str(tmp_path)).select("query_id", "rank", "id", "distance").collect()
+    got = catalog.QUERIES["v_sparse_ip"](spark, str(tmp_path)).select("query_id", "rank", "id", "distance").collect()
     assert sorted(map(tuple, got)) == sorted(want)
-    held = catalog.QUERIES["v_sparse_normalized_words"](spark, str(tmp_path)).collect()
+    held = catalog.QUERIES["v_sparse_normalized"](spark, str(tmp_path)).collect()
     assert Counter((r.id, r.dim) for r in held) == Counter((i, w) for i, c in words.items() for w in c)
+
+
+def test_graphs_follow_their_metric(spark):
+    rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [5.0, 5.0]), (2, [0.0, -1.0]), (3, [0.1, 0.1])], "id long, v array<double>")
+    asked = spark.createDataFrame([(9, [0.9, 0.1])], "id long, v array<double>")
+    first = {m: indexes.factory("HNSW4", rows, metric=m).search(asked, 1).first() for m in ("l2", "ip", "cosine")}
+    assert {m: r.id for m, r in first.items()} == {"l2": 0, "ip": 1, "cosine": 0} and first["ip"].distance == pytest.approx(5.0)
+    few = indexes.factory("HNSW4", rows).search(asked, 2, width=1, where=F.col("id").isin(1, 2))
+    assert {r.id for r in few.collect()} == {1, 2}
+
+
+@pytest.mark.parametrize("name", ["IVF4_HNSW8,Flat", "Flat,Refine(NONSENSE)", "IVF4,HNSW8", "XYZ"])
+def test_unknown_factory_parts_are_rejected(spark, name):
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(8)], "id long, v array<double>")
+    with pytest.raises(ValueError):
+        indexes.factory(name, rows)
+
+
+def test_sparse_search_in_many_blocks(spark):
+    rows = [(i, d, float(1 + (i * d) % 3)) for i in range(40) for d in (0, 1 + i % 5, 10 + i % 7)]
+    df = spark.createDataFrame(rows, "id long, dim long, val double")
+    table = {}
+    for i, d, v in rows:
+        table.setdefault(i, {})[d] = v
+    want = {(q, b, sum(v * y.get(d, 0.0) for d, v in x.items())) for q, x in table.items() for b, y in table.items()}
+    got = vectors.sparse_search(df, df, block=7).collect()
+    assert {(r.query_id, r.id, r.distance) for r in got} == want
+    top = vectors.sparse_search(df, df, 3, block=7).collect()
+    for q in table:
+        best = sorted((-s, b) for a, b, s in want if a == q)[:3]
+        assert sorted((r.rank, r.id, -r.distance) for r in top if r.query_id == q) == [(n, b, s) for n, (s, b) in enumerate(best, 1)]
