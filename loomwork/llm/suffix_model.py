@@ -27,21 +27,19 @@ table gives no rows; further columns are ignored. Words and grams are known by
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm import spans
 from loomwork.llm.tokens import slices
 from loomwork.session import discard, stored
 
 #: No word holds a line end, so this stands for the end of a text.
 _END = b"\n"
-_HELD = 250_000
 #: Bits of the filter of grams, as a power of 2.
 _FILTER = 28
 #: The least count of a word and of a longer context, and of a kept next symbol.
@@ -76,7 +74,22 @@ class Symbols:
 
 
 def hashes_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
+    ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+    starts = np.append(0, ends[:-1]).astype(np.int64) if words else ends
+    return spans.hashes(np.frombuffer(b"".join(words), np.uint8), starts, ends, spans.LOWER).view(np.int64)
+
+
+def read(column) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of an Arrow column of texts, each text's end among them, and where each text begins."""
+    data, offsets = spans.texts(column)
+    starts, ends = spans.words(data, offsets)
+    counts = np.bincount(spans.owners(offsets, starts), minlength=len(offsets) - 1) + 1
+    begins = np.cumsum(counts) - counts
+    out = np.full(int(counts.sum()), hashes_of([_END])[0], np.int64)
+    inside = np.ones(len(out), bool)
+    inside[begins + counts - 1] = False
+    out[inside] = spans.hashes(data, starts, ends, spans.LOWER).view(np.int64)
+    return out, begins
 
 
 def _found(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -183,19 +196,23 @@ def counted(training: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held: Counter = Counter()
+        held, size = [], 0
 
-        def out():
-            rows = pa.RecordBatch.from_arrays([pa.array(hashes_of([*held])), pa.array(np.fromiter(held.values(), np.int64, len(held)))], ["word", "n"])
-            held.clear()
-            return rows
+        def rows():
+            words, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            return words, np.bincount(at, np.concatenate([h[1] for h in held]), len(words)).astype(np.int64)
 
-        for batch in batches:
-            for body in batch.column(0).to_pylist():
-                held.update(_words(body))
-                if len(held) > _HELD:
-                    yield out()
-        yield out()
+        for batch in (x for b in batches for x in slices(b, 512)):
+            held.append(np.unique(read(batch.column(0))[0], return_counts=True))
+            size += len(held[-1][0])
+            if size > 2_000_000:
+                held = [rows()]
+                size = len(held[0][0])
+                if size > 1_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["word", "n"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows()], ["word", "n"])
 
     parts = training.select(F.col("text").cast("string")).mapInArrow(run, "word long, n long")
     return stored(parts.groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
@@ -308,25 +325,6 @@ def _places(starts: np.ndarray, n: int) -> np.ndarray:
     return np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
 
 
-class Hashes:
-    """Hashes of words, with a bounded number of words at hand."""
-
-    def __init__(self, kept: int = 300_000):
-        self.kept, self.held = kept, {}
-
-    def read(self, bodies: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words of some texts, and where each text begins."""
-        words, starts = [], []
-        for body in bodies:
-            starts.append(len(words))
-            words += _words(body)
-        if len(self.held) > self.kept:
-            self.held.clear()
-        new = [*set(words).difference(self.held)]
-        self.held.update(zip(new, hashes_of(new).tolist(), strict=True))
-        return np.fromiter(map(self.held.__getitem__, words), np.int64, len(words)), np.asarray(starts, np.int64)
-
-
 def _filter(keys: DataFrame) -> np.ndarray:
     """A bit for the highest bits of each key; its size is fixed, so a large table only makes it let more through."""
     place = F.shiftrightunsigned("key", 64 - _FILTER)
@@ -348,7 +346,7 @@ def _grams(training: DataFrame, length: int, contexts, suffixes) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        table, held, size = Hashes(), [], 0
+        held, size = [], 0
 
         def rows():
             pre, suf, n = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -358,7 +356,7 @@ def _grams(training: DataFrame, length: int, contexts, suffixes) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(pre[first]), pa.array(suf[first]), pa.array(np.add.reduceat(n, first))], ["pre", "suf", "n"])
 
         for batch in (x for b in batches for x in slices(b, 512)):
-            keys, starts = table.read(batch.column(0).to_pylist())
+            keys, starts = read(batch.column(0))
             use = _places(starts, len(keys))[length - 1 :] >= length - 1
             for _ in range(length - 2):
                 keys = _longer(keys)
@@ -453,9 +451,8 @@ def score(docs: DataFrame, training: DataFrame, *, depth: int = 2, context_share
         import pyarrow as pa
 
         alphabet, roots, escapes, keys, gains, bits = shared.value
-        table = Hashes()
         for batch in (x for b in batches for x in slices(b, 512)):
-            gram, starts = table.read(batch.column(2).to_pylist())
+            gram, starts = read(batch.column(2))
             if not len(starts):
                 continue
             n = len(gram)
