@@ -30,9 +30,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm import spans
+from loomwork.llm.tokens import slices
 from loomwork.session import discard, sized, stored
 
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -48,37 +51,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept up to a number of words."""
-
-    def __init__(self, kept: int = 250_000):
-        import xxhash
-
-        self.make, self.kept = xxhash.xxh3_64_intdigest, kept
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.kept:
-            self.clear()
-        self[word] = value = self.make(word)
-        return value
-
-
-_WORDS: list[WordHashes] = []
+def bags(column, width: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each whole text of an Arrow column, hashes of its distinct shingles and their counts."""
+    data, offsets = spans.texts(column)
+    starts, ends = spans.words(data, offsets)
+    words = spans.hashes(data, starts, ends)
+    sizes = np.bincount(spans.owners(offsets, starts), minlength=len(offsets) - 1)
+
+    def shingled(hashes: np.ndarray, size: int) -> np.ndarray:
+        n = max(0, len(hashes) - size + 1)
+        total = np.full(n, size, np.uint64)
+        for i in range(size):
+            total = mixed(total * _GOLDEN + hashes[i : i + n])
+        return total
+
+    whole, out, at = shingled(words, width), [], 0
+    for n in sizes.tolist():
+        if n:
+            out.append(np.unique(whole[at : at + n - width + 1] if n >= width else shingled(words[at : at + n], n), return_counts=True))
+        else:
+            out.append((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+        at += n
+    return out
 
 
 def shingles(body: str | None, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct shingles of a whole text and their counts."""
-    if not _WORDS:
-        _WORDS.append(WordHashes())
-    words = (body or "").encode("utf-8", "surrogatepass").split()
-    if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    hashes = np.fromiter(map(_WORDS[0].__getitem__, words), np.uint64, len(words))
-    n = max(1, len(words) - width + 1)
-    total = np.full(n, len(words) if len(words) < width else width, np.uint64)
-    for i in range(min(width, len(words))):
-        total = mixed(total * _GOLDEN + hashes[i : i + n])
-    return np.unique(total, return_counts=True)
+    """Hashes of the distinct shingles of one whole text and their counts."""
+    return bags(pa.array([body], pa.string()), width)[0]
 
 
 def _processes(hashes: np.ndarray, weights: np.ndarray, owner: np.ndarray):
@@ -146,14 +145,10 @@ def signed(docs: DataFrame, *, bands: int = 32, rows: int = 5, width: int = 5) -
     """doc_id, node (md5 of the text, null for null) and band keys (null without words) of every row."""
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        from loomwork.llm.tokens import slices
-
         for batch in (x for b in batches for x in slices(b, 512)):
-            bags = [shingles(x, width) for x in batch.column(2).to_pylist()]
-            keys = band_keys(signatures(bags, bands * rows), bands) if bags else np.zeros((0, bands), np.int64)
-            has = np.array([len(b[0]) > 0 for b in bags], bool)
+            own = bags(batch.column(2), width)
+            keys = band_keys(signatures(own, bands * rows), bands) if own else np.zeros((0, bands), np.int64)
+            has = np.array([len(b[0]) > 0 for b in own], bool)
             ends = np.concatenate([[0], np.cumsum(has * bands)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends, mask=np.concatenate([~has, [False]])), pa.array(keys[has].ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["doc_id", "node", "keys"])
@@ -188,16 +183,13 @@ def verified(pairs: DataFrame, docs: DataFrame, *, least: float, width: int) ->
     texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs)
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         hub, bag = None, None
         for batch in batches:
-            a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
             keep = []
-            for node, one, two in zip(b, x, y, strict=True):
+            for node, one, two in zip(batch.column(1).to_pylist(), bags(batch.column(2), width), batch.column(3), strict=True):
                 if node != hub:
-                    hub, bag = node, shingles(two, width)
-                keep.append(overlap(shingles(one, width), bag) >= least)
+                    hub, bag = node, shingles(two.as_py(), width)
+                keep.append(overlap(one, bag) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
@@ -250,26 +242,24 @@ def remaining_links(members: DataFrame, roots: DataFrame, table: DataFrame, docs
     asking = whole.filter("asks").select(new("key"), each("n").alias("q_i"), own("minor").alias("q_j"), *map(new, ("node", "root", "keys", "text")))
 
     def run(key, mine, asked):
-        import pyarrow as pa
-
         schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
         if not mine.num_rows or not asked.num_rows:
             return schema.empty_table()
         nodes, roots_, asks = (mine.column(c).to_pylist() for c in ("node", "root", "asks"))
         bands = np.array(mine.column("keys").to_pylist(), np.int64)
-        bags = [shingles(x, width) for x in mine.column("text").to_pylist()]
-        owner = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
-        hashes, counts = np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags])
+        own = bags(mine.column("text").combine_chunks(), width)
+        owner = np.repeat(np.arange(len(own)), [len(b[0]) for b in own])
+        hashes, counts = np.concatenate([b[0] for b in own]), np.concatenate([b[1] for b in own])
         order = np.argsort(hashes, kind="stable")
         hashes, counts, owner = hashes[order], counts[order], owner[order]
-        totals = np.bincount(owner, counts, len(bags))
+        totals = np.bincount(owner, counts, len(own))
         here, out = key[0].as_py(), []
         for node, root, own_keys, text in zip(*(asked.column(c).to_pylist() for c in ("q_node", "q_root", "q_keys", "q_text")), strict=True):
             h, c = shingles(text, width)
             low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
             n = high - low
             at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            shared = np.bincount(owner[at], np.minimum(counts[at], np.repeat(c, n)), len(bags))
+            shared = np.bincount(owner[at], np.minimum(counts[at], np.repeat(c, n)), len(own))
             like = shared / np.maximum(totals + c.sum() - shared, 1) >= least
             equal = bands == np.array(own_keys, np.int64)
             first = np.array(own_keys)[equal.argmax(1)] == here

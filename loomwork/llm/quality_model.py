@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from loomwork.llm import text
 from loomwork.llm.tokens import slices
-from loomwork.session import stored
+from loomwork.session import sized, stored
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -197,15 +197,18 @@ def fit(
     return model
 
 
-def train(statistics_: DataFrame, labels: DataFrame, *, label: str = "quality", fold: tuple[int, int] = (5, 0), most_rows: int = 200_000) -> Model | None:
-    """Fit on the labelled rows whose crc32 remainder by ``fold[0]`` isn't ``fold[1]``."""
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
-    usable = usable.filter(F.col("y").isin(0.0, 1.0) & (text.remainder(F.col("doc_id"), fold[0]) != fold[1]))
-    usable = usable.groupBy("doc_id").agg(F.avg("y").alias("y"))
-    n = usable.count()
-    if n > most_rows:
-        usable = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(most_rows / n * (1 << 20)))
-    rows = statistics_.join(usable, "doc_id").select("x", "y", F.pmod(F.xxhash64("doc_id"), F.lit(5)).cast("int").alias("fold"))
+def usable(labels: DataFrame, *, label: str = "quality", fold: tuple[int, int] = (5, 0), most_rows: int = 200_000) -> DataFrame:
+    """(doc_id, y) of at most about ``most_rows`` labelled documents whose crc32 remainder by ``fold[0]`` isn't ``fold[1]``."""
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
+    rows = rows.filter(F.col("y").isin(0.0, 1.0) & (text.remainder(F.col("doc_id"), fold[0]) != fold[1]))
+    rows = stored(rows.groupBy("doc_id").agg(F.avg("y").alias("y")), "quality-labels")
+    n = rows.count()
+    return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(most_rows / n * (1 << 20))) if n > most_rows else rows
+
+
+def train(statistics_: DataFrame, chosen: DataFrame) -> Model | None:
+    """Fit on the rows that `usable` labels name."""
+    rows = statistics_.join(chosen, "doc_id").select("x", "y", F.pmod(F.xxhash64("doc_id"), F.lit(5)).cast("int").alias("fold"))
     return fit(stored(rows, "quality-labelled"))
 
 
@@ -227,12 +230,18 @@ def scored(statistics_: DataFrame, model: Model | None) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, **training) -> DataFrame:
     """doc_id, content and score of every input row."""
     table = measured(docs)
-    return scored(table, train(table, labels, **training))
+    return scored(table, train(table, usable(labels, **training)))
 
 
 def with_scores(docs: DataFrame, labels: DataFrame, *, score: str = "score", **training) -> DataFrame:
-    """The input rows with their score in a column ``score``; texts are measured again, not shuffled."""
-    model = train(measured(docs), labels, **training)
+    """The input rows with their score in a column ``score``; texts stay where they lie.
+
+    For training only labelled texts are measured; their ids, bounded by
+    ``most_rows``, are broadcast.
+    """
+    chosen = usable(labels, **training)
+    ids = chosen.select(F.col("doc_id").alias("__id"))
+    model = train(measured(docs.join(sized(ids), F.col("doc_id").cast("long") == F.col("__id"), "left_semi")), chosen)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -132,6 +132,121 @@ def test_suffix_scores_use_every_state_of_the_tree(spark, share):
     assert [g[1] for g in got] == pytest.approx([w[1] for w in sorted(want)], rel=1e-9)
 
 
+def plain_tree(training, depth=2):
+    """The method by dictionaries: a function from (context, symbol) to probability."""
+    counts = [Counter() for _ in range(depth + 1)]
+    for words in training:
+        for i in range(len(words)):
+            for n in range(min(depth, i) + 1):
+                counts[n][tuple(words[i - n : i + 1])] += 1
+    total, kinds, states = sum(counts[0].values()), len(counts[0]), {}
+
+    def probability(context, symbol):
+        if not context:
+            return (counts[0][(symbol,)] + 1) / (total + kinds + 1)
+        if context not in states:
+            return probability(context[1:], symbol)
+        own, escape = states[context]
+        return own.get(symbol, 0.0) + escape * probability(context[1:], symbol)
+
+    for n in range(1, depth + 1):
+        found = {}
+        for gram, c in counts[n].items():
+            if c >= 2 and counts[n - 1][gram[:-1]] >= (2 if n == 1 else 4):
+                found.setdefault(gram[:-1], {})[gram[-1]] = c
+        made = {}
+        for context, after in found.items():
+            whole = counts[n - 1][context]
+            gain = sum(c * math.log(c / whole / probability(context[1:], w)) for w, c in after.items())
+            if gain >= 8.0:
+                own = {w: (c - 0.5) / whole for w, c in after.items()}
+                made[context] = (own, max(1 - sum(own.values()), 1e-12))
+        states |= made
+    return probability, states
+
+
+def test_suffix_scores_against_a_plain_tree(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    words = lambda t: [*lm_counts([])[1](t)]
+    probability, states = plain_tree([words(r.text) for r in docs if zlib.crc32(str(r.doc_id).encode()) % 7 != 2])
+    assert {len(s) for s in states} == {1, 2}
+    got = {r.doc_id: r.score for r in queries.op5_suffix_scores(spark, str(DATA)).collect()}
+    for r in docs:
+        own = words(r.text)
+        want = sum(math.log10(probability(tuple(own[max(0, i - 2) : i]), w)) for i, w in enumerate(own))
+        assert got[r.doc_id] == pytest.approx(want, rel=1e-9)
+
+
+def test_languages_against_a_plain_version(spark):
+    """Trigram by trigram, from texts to cosines."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    letters = hd_language.Vectors(1024, 5).letter
+
+    def grams(body):
+        plain = " ".join("".join(c if c.isalpha() else " " for c in (body or "").lower()).split())
+        return Counter(zip(*[f" {plain} "[i:] for i in range(3)], strict=False)) if plain else Counter()
+
+    made = {}
+
+    def bundle(counts):
+        total = np.zeros(1024)
+        for (a, b, c), n in counts.items():
+            if (a, b, c) not in made:
+                made[a, b, c] = np.roll(letters(ord(a)), 2) * np.roll(letters(ord(b)), 1) * letters(ord(c))
+            total += n * made[a, b, c]
+        return total
+
+    sums = {}
+    for r in docs:
+        if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang is not None:
+            sums.setdefault(r.lang, Counter()).update(grams(r.text))
+    profiles = {k: bundle(v) / np.linalg.norm(bundle(v)) for k, v in sorted(sums.items()) if v}
+    got = {r.doc_id: r for r in queries.op7_language(spark, str(DATA)).collect()}
+    for r in docs:
+        own = bundle(grams(r.text))
+        if not own.any():
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        cosine = {k: p @ own / np.linalg.norm(own) for k, p in profiles.items()}
+        assert got[r.doc_id].lang_pred == max(cosine, key=cosine.get)
+        assert got[r.doc_id].score == pytest.approx(max(0.0, *cosine.values()), abs=1e-4)
+
+
+def test_quality_against_a_plain_version(spark):
+    """The same random features, fitted in one place by textbook ridge and isotonic regression."""
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("fold")).collect()
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 5}
+    x = np.stack([quality_model.statistics(r.text) for r in rows])
+    own = np.array([r.doc_id in label for r in rows])
+    y, fold = np.array([label.get(r.doc_id, 0) for r in rows], float)[own], np.array([r.fold for r in rows])[own]
+    mean, scale = x[own].mean(0), x[own].std(0)
+    rng = np.random.default_rng(11)
+    directions, phases = rng.normal(size=(x.shape[1], 160)) / 3.0, rng.uniform(0, 2 * np.pi, 160)
+    z = np.clip((x - mean) / np.where(scale > 1e-9, scale, 1), -6, 6) @ directions + phases
+    z = np.hstack([np.ones((len(x), 1)), np.sqrt(2 / 160) * np.cos(z)])
+
+    def ridge(use):
+        a = z[own][use]
+        return np.linalg.solve(a.T @ a + 1e-3 * max(1.0, len(a)) / 161 * np.eye(161), a.T @ y[use])
+
+    raw = np.concatenate([z[own][fold == i] @ ridge(fold != i) for i in range(5)])
+    at = np.clip((raw + 0.5) / 2.0 * 2000, 0, 1999).astype(int)
+    truth = np.concatenate([y[fold == i] for i in range(5)])
+    bins = sorted(set(at.tolist()))
+    p, t = [truth[at == b].sum() for b in bins], [(at == b).sum() for b in bins]
+    # the isotonic mean of a place is the greatest least mean of blocks around it; its block's ends give the counts
+    blocks = []
+    for a, b in zip(p, t, strict=True):
+        blocks.append([a, b, 1])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+            last = blocks.pop()
+            blocks[-1] = [u + v for u, v in zip(blocks[-1], last, strict=True)]
+    level = np.maximum.accumulate([(a + 0.5) / (b + 1) for a, b, n in blocks for _ in range(n)])
+    want = np.clip(np.interp(z @ ridge(np.ones(len(y), bool)), -0.5 + (np.array(bins) + 0.5) / 1000, level), 0, 1)
+    got = {r.doc_id: r.score for r in queries.op10_quality(spark, str(DATA)).collect()}
+    assert [got[r.doc_id] for r in rows] == pytest.approx(want.tolist(), abs=2e-3)
+
+
 def test_suffix_scores_of_empty_tables(spark, odd, empty):
     assert suffix_model.score(empty, empty).count() == 0
     rows = suffix_model.score(odd, empty).collect()

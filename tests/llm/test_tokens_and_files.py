@@ -141,16 +141,23 @@ def test_files_give_back_the_ids(spark, odd, empty, plain, tmp_path, encoding):
     assert token_files.digests(spark, str(tmp_path / f"none-{encoding}")).count() == 0
 
 
-def test_files_have_the_layout_asked_for(spark, tmp_path):
+@pytest.mark.parametrize("encoding, name", [("dictionary", "RLE_DICTIONARY"), ("delta", "DELTA_BINARY_PACKED")])
+def test_files_have_the_layout_asked_for(spark, tmp_path, encoding, name):
+    """The encoding of the ids, several row groups, and both page indexes for ids and metadata."""
     import glob
 
     import pyarrow.parquet as pq
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    token_files.write(docs, str(tmp_path / "f"), row_group_bytes=64 << 10, page_bytes=4 << 10)
-    meta = pq.ParquetFile(sorted(glob.glob(str(tmp_path / "f" / "*.parquet")))[0]).metadata
-    ids = next(meta.row_group(0).column(i) for i in range(meta.num_columns) if meta.row_group(0).column(i).path_in_schema.startswith("ids"))
-    assert any("DICT" in e for e in ids.encodings) and ids.has_column_index or ids.has_offset_index
+    token_files.write(docs.unionByName(docs).unionByName(docs), str(tmp_path / "f"), encoding=encoding, row_group_bytes=16 << 10, page_bytes=2 << 10)
+    files = [pq.ParquetFile(f).metadata for f in sorted(glob.glob(str(tmp_path / "f" / "*.parquet")))]
+    assert max(m.num_row_groups for m in files) > 1 and sum(m.num_rows for m in files) == 3 * docs.count()
+    for m in files:
+        for g in range(m.num_row_groups):
+            columns = {m.row_group(g).column(i).path_in_schema.split(".")[0]: m.row_group(g).column(i) for i in range(m.num_columns)}
+            assert name in columns["ids"].encodings or (encoding == "dictionary" and "PLAIN_DICTIONARY" in columns["ids"].encodings)
+            assert encoding == "dictionary" or not any("DICT" in e for e in columns["ids"].encodings)
+            assert all(columns[c].has_offset_index and columns[c].has_column_index for c in ("ids", "doc_id", "n_tokens"))
 
 
 def test_query_covers_all_documents(spark, plain):
