@@ -175,9 +175,13 @@ class AdditiveQuantizer:
         return self
 
     def encode(self, x: np.ndarray) -> np.ndarray:
+        """Codes of all rows, some hundred rows at a time, so memory is bounded by beam and codewords."""
+        return np.concatenate([self._encode(x[i : i + 512]) for i in range(0, len(x), 512)]) if len(x) else np.zeros((0, self.m), int)
+
+    def _encode(self, x: np.ndarray) -> np.ndarray:
         codes, rest = np.zeros((len(x), 1, 0), int), x[:, None, :]
         for book in self.books:  # a beam of the best partial sums
-            cost = ((rest[:, :, None, :] - book[None, None]) ** 2).sum(-1)
+            cost = (rest**2).sum(-1)[:, :, None] - 2 * rest @ book.T + (book**2).sum(1)
             flat = cost.reshape(len(x), -1)
             keep = np.argsort(flat, axis=1, kind="stable")[:, : self.beam]
             parent, code = keep // len(book), keep % len(book)

@@ -12,7 +12,7 @@ def _order(reverse: bool = False) -> list[Column]:
 
 
 def upsert(log: DataFrame) -> DataFrame:
-    """The table that a log (key, member, score, seq) leaves: the last score of each member. NaN is rejected."""
+    """The table that a log (key, member, score, seq) leaves: the last score of each member. A write of NaN has no effect, as it is refused where it comes."""
     valid = log.filter(~F.isnan("score"))
     return valid.groupBy("key", "member").agg(F.max_by("score", "seq").alias("score"))
 

@@ -9,7 +9,7 @@ from loomwork.functions import scalars
 from loomwork.functions import values as V
 from loomwork.plans import builder as B
 from loomwork.plans import documents as D
-from loomwork.session import read_table
+from loomwork.session import read_table, scratch_path
 from loomwork.sources import files
 
 QUERIES: dict = {}
@@ -394,3 +394,19 @@ def d_unique_reject(spark, sf_dir):
         except D.DuplicateValue:
             rejected += 1
     return db.query("SELECT COUNT(*) AS documents FROM customer").withColumn("rejected", F.lit(rejected == 2))
+
+
+@_query("d_page", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
+def d_page(spark, sf_dir):
+    db = D.Database(spark, orders=read_table(spark, sf_dir, "orders"))
+    return db.page("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey", limit=50, offset=100)
+
+
+@_query("d_compaction", "SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'click'")
+def d_compaction(spark, sf_dir):
+    """A log of writes is rewritten with its live documents only, and read back."""
+    e = read_table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", (F.col("event_type") == "click").alias("gone"))
+    log, target = scratch_path(spark, "log"), scratch_path(spark, "compacted")
+    e.write.parquet(log)
+    files.compact(spark, log, target, key="user_id", seq="event_id", deleted="gone")
+    return spark.read.parquet(target).select("user_id", "event_type")

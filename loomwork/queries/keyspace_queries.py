@@ -172,6 +172,45 @@ def k_zadd_log(spark, sf_dir):
     return zsets.upsert(e.select(F.col("event_type").alias("key"), F.col("user_id").cast("string").alias("member"), F.col("value").alias("score"), F.col("event_id").alias("seq")))
 
 
+@_query("k_zincrby", "SELECT event_type AS key, user_id::VARCHAR AS member, sum((event_id % 7)::DOUBLE) AS score FROM events GROUP BY 1, 2")
+def k_zincrby(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events")
+    return zsets.increments(e.select(F.col("event_type").alias("key"), F.col("user_id").cast("string").alias("member"), (F.col("event_id") % 7).cast("double").alias("delta")))
+
+
+def _writes(spark, sf_dir) -> DataFrame:
+    """Each event writes its type to its user's key; every fifth deletes it."""
+    e = read_table(spark, sf_dir, "events")
+    value = F.when(F.col("event_id") % 5 != 0, F.col("event_type"))
+    return e.select(F.col("user_id").cast("string").alias("key"), value.alias("value"), F.col("event_id").alias("seq"))
+
+
+@_query("k_last_writes", "SELECT key, value FROM (SELECT user_id::VARCHAR AS key, CASE WHEN event_id % 5 <> 0 THEN event_type END AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1 AND value IS NOT NULL")
+def k_last_writes(spark, sf_dir):
+    return keyspace.last_writes(_writes(spark, sf_dir))
+
+
+@_query("k_setnx", "SELECT user_id::VARCHAR AS key, arg_min(event_type, event_id) AS value FROM events WHERE event_id % 5 <> 0 GROUP BY 1")
+def k_setnx(spark, sf_dir):
+    return keyspace.set_if_absent(_writes(spark, sf_dir).filter("value is not null"))
+
+
+@_query("k_spop", "SELECT count(DISTINCT c_nationkey) AS members, 3::BIGINT AS taken, count(DISTINCT c_nationkey) - 3 AS left_, 0::BIGINT AS both_ FROM customer")
+def k_spop(spark, sf_dir):
+    """Three members of a set, and the set without them."""
+    held = read_table(spark, sf_dir, "customer").select(F.lit("s").alias("key"), F.col("c_nationkey").cast("string").alias("member")).distinct()
+    taken, rest = sets.pop(held, "s", 3, seed=1)
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    both = rest.join(taken, "member", "left_semi")
+    return count(held, "members").crossJoin(count(taken, "taken")).crossJoin(count(rest, "left_")).crossJoin(count(both, "both_"))
+
+
+@_query("k_ttl_text", "SELECT event_id, CASE WHEN event_id % 1000 = 0 THEN (event_id // 1000)::VARCHAR ELSE regexp_replace(printf('%.3f', event_id / 1000.0), '0+$', '') END AS ttl FROM events")
+def k_ttl_text(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events").select("event_id", (F.col("event_id") / 1000.0).alias("ttl"))
+    return e.select("event_id", keyspace_sql.rendered_ttl().alias("ttl"))
+
+
 def _user_lists(spark, sf_dir) -> DataFrame:
     """Event types of each user, in order of the event."""
     e = read_table(spark, sf_dir, "events")

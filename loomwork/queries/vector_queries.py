@@ -173,6 +173,19 @@ def v_ivf_exact(spark, sf_dir):
     return _rounded(indexes.refined(found, b, b, 10))
 
 
+@_query("v_ivf_radius", _L2 + "SELECT query_id, id, round(distance, 4) AS distance FROM d WHERE distance < 1.4")
+def v_ivf_radius(spark, sf_dir):
+    """With all cells visited the answer is exact."""
+    b, index = _index(spark, sf_dir, "IVF16,Flat")
+    return _rounded(index.index.radius(b, 1.4, probes=16))
+
+
+@_query("v_reconstruct", "SELECT vec_id AS id, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings WHERE vec_id IN (3, 33, 333)")
+def v_reconstruct(spark, sf_dir):
+    rows = vectors.reconstruct(_base(spark, sf_dir), [3, 33, 333])
+    return rows.select("id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
 @_query("v_ivf_filtered", _L2 + _top(5, where="id >= 50 AND id < 450"))
 def v_ivf_filtered(spark, sf_dir):
     b, index = _index(spark, sf_dir, "IVF16,Flat")

@@ -14,14 +14,20 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+#: Rows of an Arrow batch at most: whole texts can be long, and a task holds a few batches at once.
+BATCH_ROWS = 2048
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package and pin the session to UTC."""
+    """Let Python workers import this package, pin the session to UTC and bound Arrow batches."""
     environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in known:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
 
