@@ -25,27 +25,32 @@ LEAST_QUALITY = 0.3
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score below LEAST_QUALITY."""
+    prepare(spark)
     scored = quality_model.with_scores(docs, read_table(spark, sf_dir, "labels"), score="__score")
     return scored.filter(F.col("__score") >= LEAST_QUALITY).select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rules or are mostly lines common in their source."""
+    prepare(spark)
     return line_rules.kept_rows(docs)
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of near-duplicates."""
+    prepare(spark)
     return near_duplicates.first_of_each(docs).select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or cuts documents so that each source has its target of words."""
+    prepare(spark)
     return mixing.emit(docs, mixing.draw(docs))
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents in sequences of 1024; the only stage with other columns."""
+    prepare(spark)
     return packing.pack(docs)
 
 

@@ -17,6 +17,7 @@ named lang_pred or score are replaced.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwork.llm.tokens import slices
+
 _LETTER: np.ndarray | None = None
 #: Characters handled at once; longer texts are bundled window by window.
 _WINDOW = 1 << 20
@@ -53,6 +56,11 @@ def trigrams(body: str | None) -> tuple[np.ndarray, np.ndarray]:
             codes = data[:-2] << 42 | data[1:-1] << 21 | data[2:]
             parts.append(np.unique(codes, return_counts=True))
         tail = data[-2:]
+    return merged(parts)
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and their counts over all parts."""
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(parts) == 1:
@@ -113,21 +121,24 @@ def learn(rows: DataFrame, *, size: int = 1024, seed: int = 5) -> tuple[list[str
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        own, sums = vectors(size, seed), {}
-        for batch in batches:
+        own, sums, held = vectors(size, seed), {}, Counter()
+        for batch in (x for b in batches for x in slices(b)):
             for body, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                codes, counts = trigrams(body)
-                if len(codes):
-                    held = sums.setdefault(lang, {})
-                    for c, n in zip(codes.tolist(), counts.tolist(), strict=True):
-                        held[c] = held.get(c, 0) + n
-                    if len(held) > 200_000:
-                        yield from out({lang: sums.pop(lang)}, own, pa)
+                found = trigrams(body)
+                if len(found[0]):
+                    sums.setdefault(lang, []).append(found)
+                    held[lang] += len(found[0])
+                    if held[lang] > 1_000_000:
+                        sums[lang] = [merged(sums[lang])]
+                        held[lang] = len(sums[lang][0][0])
+                        if held[lang] > 500_000:
+                            yield from out({lang: sums.pop(lang)}, own, pa)
+                            held[lang] = 0
         yield from out(sums, own, pa)
 
     def out(sums, own, pa):
         for lang, held in sums.items():
-            codes, counts = np.fromiter(held, np.int64, len(held)), np.fromiter(held.values(), np.int64, len(held))
+            codes, counts = merged(held)
             total = np.zeros(size, np.int64)
             for at in range(0, len(codes), 4096):  # whole numbers, so the sum doesn't depend on its order
                 part = np.stack([own.bound(c) for c in codes[at : at + 4096].tolist()])
@@ -149,7 +160,7 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, *, se
         import pyarrow as pa
 
         own = vectors(size, seed)
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b)):
             names, scores = [], []
             for body in batch.column("text").to_pylist():
                 codes, counts = trigrams(body)

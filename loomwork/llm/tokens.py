@@ -9,6 +9,7 @@ together. What doesn't fit these rules is encoded whole.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from loomwork.llm import spans
 
 #: Places of the table of pieces, as a power of 2, and the ids it holds.
-_SLOTS, _POOL = 21, 8_000_000
+_SLOTS, _POOL = 21, 6_000_000
 #: A blank beside another white-space character, or at either end.
 _UNSAFE = re.compile(r" \s|\A | \Z")
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
@@ -57,7 +58,7 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         #: a piece's hash, the place of its ids in the pool, and their number
-        self.keys, self.place, self.size = np.zeros(1 << _SLOTS, np.uint64), np.zeros(1 << _SLOTS, np.int64), np.zeros(1 << _SLOTS, np.uint16)
+        self.keys, self.place, self.size = np.zeros(1 << _SLOTS, np.uint64), np.zeros(1 << _SLOTS, np.int32), np.zeros(1 << _SLOTS, np.uint16)
         self.pool, self.used = np.zeros(0, np.uint32), 0
         self.line_end = int.from_bytes(self._whole(["\n"])[0], "little")
 
@@ -153,7 +154,7 @@ class Encoder:
         if self.used > _POOL // 2:
             self.keys[:], self.used = 0, 0
         slot = keys >> np.uint64(64 - _SLOTS)
-        place, sizes = self.place[slot], self.size[slot].astype(np.int64)
+        place, sizes = self.place[slot].astype(np.int64), self.size[slot].astype(np.int64)
         miss = np.flatnonzero(self.keys[slot] != keys)
         if len(miss):
             new, first, back = np.unique(keys[miss], return_index=True, return_inverse=True)
@@ -230,8 +231,14 @@ def encoder(vocabulary: str, end_id: int | None = None) -> Encoder:
     return _ENCODERS[key]
 
 
+#: Gives what numpy has freed back to the system, where the C library can: workers live on from stage to stage.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def slices(batch, most: int = 256):
     """Smaller record batches, so that a few long texts don't pile up at once."""
     for at in range(0, batch.num_rows, most):
         yield batch.slice(at, most)
     pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)

@@ -95,7 +95,10 @@ def _units(x: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: DataFrame, *, sample: int = 50_000, cells: int | None = None, parts: int = 16, k: int = 5, recall: float = 0.96, seed: int = 3) -> Index | None:
-    """Fit on at most about ``sample`` vectors chosen by a hash of their ids."""
+    """Fit on at most about ``sample`` vectors chosen by a hash of their ids.
+
+    ``cells``: by default the square root of the rows, but at least 32 vectors of the sample each.
+    """
     n = rows.count()
     if not n:
         return None
@@ -107,7 +110,7 @@ def fit(rows: DataFrame, *, sample: int = 50_000, cells: int | None = None, part
     size = int(np.bincount(lengths).argmax())
     x = _units(np.stack([np.asarray(v.as_py()) for v, k in zip(vectors, lengths, strict=True) if k == size]))
     rng = np.random.default_rng(seed)
-    centroids = lloyd(x, cells or int(np.clip(len(x) // 64, 1, 256)), rng)
+    centroids = lloyd(x, cells or int(np.clip(np.sqrt(n), 1, max(1, len(x) // 32))), rng)
     rest = x - centroids[nearest(x, centroids)]
     slices = [slice(int(i[0]), int(i[-1]) + 1) for i in np.array_split(np.arange(size), min(parts, size))]
     return Index(centroids, slices, [lloyd(rest[:, s], 256, rng) for s in slices], probes_for(x, centroids, k, recall))
@@ -156,7 +159,8 @@ def _probed(queries: DataFrame, index: Index, probes: int) -> DataFrame:
 
         for batch in batches:
             x = _units(_matrix(batch.column(1), index.size))
-            order = np.argsort(((x[:, None, :] - index.centroids[None]) ** 2).sum(2), axis=1, kind="stable")[:, :probes]
+            far = (index.centroids**2).sum(1) / 2
+            order = np.concatenate([np.argsort(far - x[i : i + 1024] @ index.centroids.T, axis=1, kind="stable")[:, :probes] for i in range(0, len(x), 1024)] or [np.zeros((0, probes), int)])
             at = pa.array(np.repeat(np.arange(len(x)), order.shape[1]))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(order.ravel().astype(np.int32))], ["id", "v", "cell"])
 
