@@ -16,6 +16,7 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 
 #: Rows of an Arrow batch at most: whole texts can be long, and a task holds a few batches at once.
 BATCH_ROWS = 2048
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -54,11 +55,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage in a way that survives lost executors, and gives the
     planner a true size: later joins broadcast the table only if its files are
-    below ``spark.sql.autoBroadcastJoinThreshold``.
+    below ``spark.sql.autoBroadcastJoinThreshold``. Shuffle files of the write are
+    removed as it ends, not when the driver happens to collect garbage.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
