@@ -44,6 +44,8 @@ _END = b"\n"
 _FILTER = 28
 #: The least count of a word and of a longer context, and of a kept next symbol.
 _LEAST_WORD, _LEAST_CONTEXT, _LEAST_NEXT = 2, 4, 2
+#: Tokens of the corpus for each bucket of grams.
+_BUCKET = 1_000_000
 
 
 def _words(body: str | None) -> list[bytes]:
@@ -340,20 +342,39 @@ def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _grams(training: DataFrame, length: int, contexts, suffixes) -> DataFrame:
-    """(pre, suf, n): counts of the grams of some words whose first and last parts may be in the tables below."""
+def _distinct(pre: np.ndarray, suf: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Distinct grams by ascending key: key, pre, suf and the sum of ``n``, which is 1 for each by default."""
+    key = _mixed(pre, suf)
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sums = np.diff(np.append(first, len(key))) if n is None else np.add.reduceat(n[order], first)
+    at = order[first]
+    return key[first], pre[at], suf[at], sums
+
+
+def _grams(training: DataFrame, length: int, tokens: int, contexts, suffixes) -> DataFrame:
+    """(key, pre, suf, n): counts of the grams of some words whose first and last parts may be in the tables below.
+
+    Grams are dealt by key to as many buckets as there are millions of tokens,
+    so that no bucket is large, however often a gram or a word occurs. Those of
+    one bucket travel as the bytes of three arrays, ordered by first part.
+    """
+    buckets = min(1 + tokens // _BUCKET, 1 << 20)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         held, size = [], 0
 
-        def rows():
-            pre, suf, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((suf, pre))
-            pre, suf, n = pre[order], suf[order], n[order]
-            first = np.flatnonzero(np.r_[True, (pre[1:] != pre[:-1]) | (suf[1:] != suf[:-1])])
-            return pa.RecordBatch.from_arrays([pa.array(pre[first]), pa.array(suf[first]), pa.array(np.add.reduceat(n, first))], ["pre", "suf", "n"])
+        def packed():
+            key, pre, suf, n = _distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            bucket = ((key.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            order = np.argsort((bucket << np.uint64(44)) | (pre.view(np.uint64) >> np.uint64(20)))
+            bucket, pre, suf, n = bucket[order].astype(np.int64), pre[order], suf[order], n[order].astype(np.int32)
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket))
+            blobs = [b"".join(x[i:j].tobytes() for x in (pre, suf, n)) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(blobs, pa.binary())], ["bucket", "grams"])
 
         for batch in (x for b in batches for x in slices(b, 512)):
             keys, starts = read(batch.column(0))
@@ -365,24 +386,27 @@ def _grams(training: DataFrame, length: int, contexts, suffixes) -> DataFrame:
                 use = _passes(contexts.value, pre) & _passes(suffixes.value, suf)
                 pre, suf = pre[use], suf[use]
             if len(pre):
-                held.append((pre, suf, np.ones(len(pre), np.int64)))
+                held.append((pre, suf))
                 size += len(pre)
-            if size > 1_000_000:
-                yield rows()
+            if size > 2_000_000:
+                yield packed()
                 held, size = [], 0
         if held:
-            yield rows()
+            yield packed()
 
-    def keyed(batches: Iterator) -> Iterator:
+    def summed(table):
         import pyarrow as pa
 
-        for b in batches:
-            keys = _mixed(b.column(0).to_numpy(), b.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *b.columns], ["key", "pre", "suf", "n"])
+        parts = []
+        for blob in table.column("grams").to_pylist():
+            m = len(blob) // 20
+            parts.append((np.frombuffer(blob, np.int64, m), np.frombuffer(blob, np.int64, m, 8 * m), np.frombuffer(blob, np.int32, m, 16 * m).astype(np.int64)))
+        columns = _distinct(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        kept = columns[3] >= _LEAST_NEXT
+        return pa.table([pa.array(x[kept]) for x in columns], ["key", "pre", "suf", "n"])
 
-    parts = training.select(F.col("text").cast("string")).mapInArrow(run, "pre long, suf long, n long")
-    counts = parts.groupBy("pre", "suf").agg(F.sum("n").alias("n")).filter(F.col("n") >= _LEAST_NEXT)
-    return stored(counts.mapInArrow(keyed, "key long, pre long, suf long, n long"), "lm-counts")
+    parts = training.select(F.col("text").cast("string")).mapInArrow(run, "bucket long, grams binary")
+    return stored(parts.groupBy("bucket").applyInArrow(summed, "key long, pre long, suf long, n long"), "lm-counts")
 
 
 def tables(training: DataFrame, words: DataFrame, tokens: int, kinds: int, *, depth: int = 2, evidence: float = 8.0, discount: float = 0.5) -> tuple[DataFrame, DataFrame]:
@@ -398,7 +422,7 @@ def tables(training: DataFrame, words: DataFrame, tokens: int, kinds: int, *, de
     for length in range(2, depth + 2):
         if length > 2:
             shared = [spark.sparkContext.broadcast(_filter(below.filter(F.col("n") >= least))), spark.sparkContext.broadcast(_filter(below))]
-        counts = _grams(training, length, *(shared or (None, None)))
+        counts = _grams(training, length, tokens, *(shared or (None, None)))
         contexts = below.filter(F.col("n") >= least).select(F.col("key").alias("pre"), F.col("n").alias("total"))
         rows = counts.join(contexts, "pre").join(below.select(F.col("key").alias("suf"), F.col("p").alias("parent")), "suf")
         rows = stored(rows.select("key", "pre", "n", "total", "parent"), "lm-grams")
@@ -426,7 +450,12 @@ def tables(training: DataFrame, words: DataFrame, tokens: int, kinds: int, *, de
     known = words.join(escapes(levels[0][1], "word"), "word", "left").withColumn("escape", F.coalesce("escape", F.lit(0.0))) if depth else words.withColumn("escape", F.lit(0.0))
     if values is None:
         values = spark.createDataFrame([], "key long, n long, value double")
-    return stored(known, "lm-known"), stored(values, "lm-values")
+    out = stored(known, "lm-known"), stored(values, "lm-values")
+    for level, states in levels:
+        for table in (level, states):
+            if table is not None and table is not levels[0][0]:
+                discard(table)
+    return out
 
 
 def score(docs: DataFrame, training: DataFrame, *, depth: int = 2, context_share: float = 2e-6, next_share: float = 5e-7, **growth) -> DataFrame:
@@ -435,10 +464,11 @@ def score(docs: DataFrame, training: DataFrame, *, depth: int = 2, context_share
     The shares bound what is broadcast, of words and of longer grams, and have no effect on scores.
     """
     spark = docs.sparkSession
-    words = counted(training)
-    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("kinds")).first()
+    counts = counted(training)
+    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("kinds")).first()
     tokens, kinds = int(totals.tokens), int(totals.kinds)
-    words, values = tables(training, words, tokens, kinds, depth=depth, **growth)
+    words, values = tables(training, counts, tokens, kinds, depth=depth, **growth)
+    discard(counts)
     floor = float(np.log10(tokens + kinds + 1))
     often = F.col("n") >= max(2, tokens * next_share)
     frequent = words.filter((F.col("n") >= max(2, tokens * context_share)) | (F.col("word") == int(hashes_of([_END])[0])))
@@ -488,12 +518,17 @@ def score(docs: DataFrame, training: DataFrame, *, depth: int = 2, context_share
     table = stored(source.mapInArrow(run, kinds_), "lm-rows")
     rare = table.select("row", F.explode("words").alias("word")).join(words, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     root = F.log10(F.col("n") + 1) - floor
-    rare = rare.select("row", root.alias("rare"), F.when(F.col("n") > 0, 1).otherwise(0).alias("more"), (root + F.coalesce("escape", F.lit(0.0))).alias("added"))
-    grams = table.select("row", F.explode("grams").alias("key")).join(seldom, "key")
-    grams = grams.select("row", F.lit(0.0).alias("rare"), F.lit(0).alias("more"), F.col("value").alias("added"))
-    sums = rare.unionByName(grams).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("rare", "more", "added")])
+    known = F.when(F.col("n") > 0, 1).otherwise(0)
+    rare = rare.groupBy("row").agg(F.sum(root).alias("rare"), F.sum(known).alias("more"), F.sum(root + F.coalesce("escape", F.lit(0.0))).alias("added"))
+    rare = stored(rare, "lm-rare")
+    discard(words)
+    grams = table.select("row", F.explode("grams").alias("key")).join(seldom, "key").groupBy("row").agg(F.sum("value").alias("gained"))
+    grams = stored(grams, "lm-gained")
+    slim = stored(table.drop("words", "grams"), "lm-sums")
+    discard(values)
+    discard(table)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return table.drop("words", "grams").join(sums, "row", "left").select(
+    return slim.join(rare, "row", "left").join(grams, "row", "left").select(
         "doc_id", "n_tokens", (F.col("known") + zero("more")).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("rare")).alias("base_score"), (F.col("own") + zero("added")).alias("score"),
+        (F.col("base") + zero("rare")).alias("base_score"), (F.col("own") + zero("added") + zero("gained")).alias("score"),
     )
