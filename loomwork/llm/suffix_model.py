@@ -201,20 +201,20 @@ def counted(training: DataFrame) -> DataFrame:
         held, size = [], 0
 
         def rows():
-            words, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            return words, np.bincount(at, np.concatenate([h[1] for h in held]), len(words)).astype(np.int64)
+            words = np.sort(np.concatenate(held))
+            first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+            return pa.RecordBatch.from_arrays([pa.array(words[first]), pa.array(np.diff(np.append(first, len(words))))], ["word", "n"])
 
         for batch in (x for b in batches for x in slices(b, 512)):
-            held.append(np.unique(read(batch.column(0))[0], return_counts=True))
-            size += len(held[-1][0])
-            if size > 2_000_000:
-                held = [rows()]
-                size = len(held[0][0])
-                if size > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["word", "n"])
-                    held, size = [], 0
+            words, _ = read(batch.column(0))
+            if len(words):
+                held.append(words)
+                size += len(words)
+            if size > 4_000_000:
+                yield rows()
+                held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows()], ["word", "n"])
+            yield rows()
 
     parts = training.select(F.col("text").cast("string")).mapInArrow(run, "word long, n long")
     return stored(parts.groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
@@ -328,13 +328,52 @@ def _places(starts: np.ndarray, n: int) -> np.ndarray:
 
 
 def _filter(keys: DataFrame) -> np.ndarray:
-    """A bit for the highest bits of each key; its size is fixed, so a large table only makes it let more through."""
-    place = F.shiftrightunsigned("key", 64 - _FILTER)
-    parts = keys.groupBy(F.shiftrightunsigned(place, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))).alias("bits"))
-    at, bits = _arrays(parts)
-    out = np.zeros(1 << (_FILTER - 6), np.int64)
-    out[at] = bits
-    return out.view(np.uint64)
+    """A bit for the highest bits of each key; a table of more keys than bits gets a filter that lets all through.
+
+    Each task sends its keys' places as short numbers within pieces of 65,536 bits,
+    and each piece comes to the driver once, so that the whole is always 32 MB.
+    """
+    out = np.zeros(1 << (_FILTER - 6), np.uint64)
+    if keys.count() > 1 << _FILTER:
+        return ~out
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held, size = [], 0
+
+        def packed():
+            places = np.unique(np.concatenate(held))
+            piece = places >> np.uint32(16)
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]])), len(piece))
+            low = places.astype(np.uint16)
+            blobs = [low[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(piece[cuts[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["piece", "bits"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append((batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - _FILTER)).astype(np.uint32))
+                size += batch.num_rows
+            if size > 4_000_000:
+                yield packed()
+                held, size = [], 0
+        if held:
+            yield packed()
+
+    def joined(table):
+        import pyarrow as pa
+
+        bits = np.zeros(1 << 16, bool)
+        for blob in table.column("bits").to_pylist():
+            bits[np.frombuffer(blob, np.uint16)] = True
+        return pa.table([table.column("piece").slice(0, 1), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["piece", "bits"])
+
+    kinds = "piece int, bits binary"
+    parts = keys.select("key").mapInArrow(run, kinds).groupBy("piece").applyInArrow(joined, kinds).toArrow()
+    words = (1 << 16) // 64
+    for piece, bits in zip(parts.column(0).to_pylist(), parts.column(1).to_pylist(), strict=True):
+        out[piece * words : (piece + 1) * words] = np.frombuffer(bits, "<u8")
+    return out
 
 
 def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -423,11 +462,11 @@ def tables(training: DataFrame, words: DataFrame, tokens: int, kinds: int, *, de
         if length > 2:
             shared = [spark.sparkContext.broadcast(_filter(below.filter(F.col("n") >= least))), spark.sparkContext.broadcast(_filter(below))]
         counts = _grams(training, length, tokens, *(shared or (None, None)))
+        for x in shared:
+            x.destroy()
         contexts = below.filter(F.col("n") >= least).select(F.col("key").alias("pre"), F.col("n").alias("total"))
         rows = counts.join(contexts, "pre").join(below.select(F.col("key").alias("suf"), F.col("p").alias("parent")), "suf")
         rows = stored(rows.select("key", "pre", "n", "total", "parent"), "lm-grams")
-        for x in shared:
-            x.unpersist()
         discard(counts)
         own = (F.col("n") - discount) / F.col("total")
         gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("parent")))
