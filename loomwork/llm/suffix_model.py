@@ -28,6 +28,7 @@ table gives no rows; further columns are ignored. Words and grams are known by
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -48,6 +49,18 @@ _LEAST_WORD, _LEAST_CONTEXT, _LEAST_NEXT = 2, 4, 2
 _BUCKET = 1_000_000
 
 
+@contextmanager
+def _hashed_joins(spark):
+    """Joins by shuffle hash the smaller side instead of sorting both, where adaptive execution has seen that each of its partitions is below the size."""
+    name = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "64m")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _words(body: str | None) -> list[bytes]:
     return [*(body or "").encode("utf-8", "surrogatepass").lower().split(), _END]
 
@@ -497,7 +510,13 @@ def tables(training: DataFrame, words: DataFrame, tokens: int, kinds: int, *, de
     return out
 
 
-def score(docs: DataFrame, training: DataFrame, *, depth: int = 2, context_share: float = 2e-6, next_share: float = 5e-7, **growth) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, **options) -> DataFrame:
+    """`scored`, its tables joined by hash where they are small enough."""
+    with _hashed_joins(docs.sparkSession):
+        return scored(docs, training, **options)
+
+
+def scored(docs: DataFrame, training: DataFrame, *, depth: int = 2, context_share: float = 2e-6, next_share: float = 5e-7, **growth) -> DataFrame:
     """The row's id and content hash, n_tokens, n_known, train_tokens, base_score and score of every input row.
 
     The shares bound what is broadcast, of words and of longer grams, and have no effect on scores.
@@ -531,7 +550,7 @@ def score(docs: DataFrame, training: DataFrame, *, depth: int = 2, context_share
             base, own = np.zeros(n), np.zeros(n)
             base[known] = roots[place[known]]
             own[known] = base[known] + escapes[place[known]]
-            asked, owner = [], []
+            grams = []
             rare = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(np.flatnonzero(~known), starts), (~known).sum()).astype(np.int32)), pa.array(gram[~known]))
             for length in range(2, depth + 2):
                 gram = _longer(gram)
@@ -541,19 +560,16 @@ def score(docs: DataFrame, training: DataFrame, *, depth: int = 2, context_share
                 hit = place >= 0
                 own[at[hit]] += gains[place[hit]]
                 more = ~hit & _passes(bits, key)
-                asked.append(key[more])
-                owner.append(text[at[more]])
-            asked, owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (asked, owner))
-            order = np.argsort(owner, kind="stable")
-            ends = np.append(0, np.cumsum(np.bincount(owner, minlength=len(starts)))).astype(np.int32)
-            grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(asked[order]))
+                ends = np.append(0, np.cumsum(np.bincount(text[at[more]], minlength=len(starts)))).astype(np.int32)
+                grams.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(key[more])))
             sums = [pa.array(np.add.reduceat(x, starts)) for x in (known.astype(np.int64), base, own)]
             sizes = pa.array(np.diff(np.append(starts, n)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, *sums, rare, grams], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, *sums, rare, *grams], names)
 
-    names = ["row", "doc_id", "n_tokens", "known", "base", "own", "words", "grams"]
+    asked = [f"grams{n}" for n in range(2, depth + 2)]
+    names = ["row", "doc_id", "n_tokens", "known", "base", "own", "words", *asked]
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    kinds_ = "row long, doc_id long, n_tokens long, known long, base double, own double, words array<long>, grams array<long>"
+    kinds_ = "row long, doc_id long, n_tokens long, known long, base double, own double, words array<long>" + "".join(f", {c} array<long>" for c in asked)
     table = stored(source.mapInArrow(run, kinds_), "lm-rows")
     rare = table.select("row", F.explode("words").alias("word")).join(words, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     root = F.log10(F.col("n") + 1) - floor
@@ -561,13 +577,19 @@ def score(docs: DataFrame, training: DataFrame, *, depth: int = 2, context_share
     rare = rare.groupBy("row").agg(F.sum(root).alias("rare"), F.sum(known).alias("more"), F.sum(root + F.coalesce("escape", F.lit(0.0))).alias("added"))
     rare = stored(rare, "lm-rare")
     discard(words)
-    grams = table.select("row", F.explode("grams").alias("key")).join(seldom, "key").groupBy("row").agg(F.sum("value").alias("gained"))
-    grams = stored(grams, "lm-gained")
-    slim = stored(table.drop("words", "grams"), "lm-sums")
+    gained = []
+    for column in asked:
+        # a length at a time, as the shuffle of a length's grams is the largest of all
+        grams = table.select("row", F.explode(column).alias("key")).join(seldom, "key")
+        gained.append(stored(grams.groupBy("row").agg(F.sum("value").alias(f"gained_{column}")), "lm-gained"))
+    slim = stored(table.drop("words", *asked), "lm-sums")
     discard(values)
     discard(table)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return slim.join(rare, "row", "left").join(grams, "row", "left").select(
+    slim = slim.join(rare, "row", "left")
+    for sums in gained:
+        slim = slim.join(sums, "row", "left")
+    return slim.select(
         "doc_id", "n_tokens", (F.col("known") + zero("more")).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("rare")).alias("base_score"), (F.col("own") + zero("added") + zero("gained")).alias("score"),
+        (F.col("base") + zero("rare")).alias("base_score"), sum((zero(f"gained_{c}") for c in asked), F.col("own") + zero("added")).alias("score"),
     )
