@@ -47,6 +47,8 @@ _FILTER = 28
 _LEAST_WORD, _LEAST_CONTEXT, _LEAST_NEXT = 2, 4, 2
 #: Tokens of the corpus for each bucket of grams.
 _BUCKET = 1_000_000
+#: Parts, a power of 2, in which the grams of all texts are joined with the tree, to hold less on disk at once.
+_PIECES = 4
 
 
 @contextmanager
@@ -111,7 +113,10 @@ def _found(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Places of ``wanted`` in sorted ``keys``, or -1."""
     if not len(keys):
         return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    # in ascending order, as neighbouring lookups then touch the same memory
+    order = np.argsort(wanted)
+    at = np.empty(len(wanted), np.int64)
+    at[order] = np.minimum(np.searchsorted(keys, wanted[order]), len(keys) - 1)
     return np.where(keys[at] == wanted, at, -1)
 
 
@@ -560,13 +565,15 @@ def scored(docs: DataFrame, training: DataFrame, *, depth: int = 2, context_shar
                 hit = place >= 0
                 own[at[hit]] += gains[place[hit]]
                 more = ~hit & _passes(bits, key)
-                ends = np.append(0, np.cumsum(np.bincount(text[at[more]], minlength=len(starts)))).astype(np.int32)
-                grams.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(key[more])))
+                for piece in range(_PIECES):
+                    mine = more & ((key & (_PIECES - 1)) == piece)
+                    ends = np.append(0, np.cumsum(np.bincount(text[at[mine]], minlength=len(starts)))).astype(np.int32)
+                    grams.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(key[mine])))
             sums = [pa.array(np.add.reduceat(x, starts)) for x in (known.astype(np.int64), base, own)]
             sizes = pa.array(np.diff(np.append(starts, n)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, *sums, rare, *grams], names)
 
-    asked = [f"grams{n}" for n in range(2, depth + 2)]
+    asked = [f"grams{n}_{piece}" for n in range(2, depth + 2) for piece in range(_PIECES)]
     names = ["row", "doc_id", "n_tokens", "known", "base", "own", "words", *asked]
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     kinds_ = "row long, doc_id long, n_tokens long, known long, base double, own double, words array<long>" + "".join(f", {c} array<long>" for c in asked)
@@ -579,8 +586,9 @@ def scored(docs: DataFrame, training: DataFrame, *, depth: int = 2, context_shar
     discard(words)
     gained = []
     for column in asked:
-        # a length at a time, as the shuffle of a length's grams is the largest of all
-        grams = table.select("row", F.explode(column).alias("key")).join(seldom, "key")
+        # a length and a part of the keys at a time, as the shuffle of all texts' grams would be the largest of all
+        mine = seldom.filter(F.col("key").bitwiseAND(_PIECES - 1) == int(column.split("_")[1]))
+        grams = table.select("row", F.explode(column).alias("key")).join(mine, "key")
         gained.append(stored(grams.groupBy("row").agg(F.sum("value").alias(f"gained_{column}")), "lm-gained"))
     slim = stored(table.drop("words", *asked), "lm-sums")
     discard(values)
