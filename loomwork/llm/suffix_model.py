@@ -15,8 +15,11 @@ text's score is a sum over its grams of one to ``depth`` + 1 words, as each
 transition is a value to be added to what shorter grams say, and each state's
 escape is added once for every token after it. Only grams with at least
 ``next_share`` of all tokens (at most 1 / share for each length) are broadcast
-and scored where the text lies, as they could be hot keys; all others are joined
-by shuffle, but for those that a fixed-size filter shows to be in no table.
+and scored where the text lies, as they could be hot keys. All others, but for
+those that a fixed-size filter shows to be in no table, travel packed by bucket
+to the part of the tree that has their values, which go back packed by the rows
+they came from. A gram that is seldom in training but very frequent in the texts
+to score is taken out of its bucket and joined by itself.
 
 Defined results: a null or empty text is its end token; rows with a null id are
 scored, not learnt from, and not held out; repeated rows are scored each and, if
@@ -30,6 +33,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -47,8 +51,10 @@ _FILTER = 28
 _LEAST_WORD, _LEAST_CONTEXT, _LEAST_NEXT = 2, 4, 2
 #: Tokens of the corpus for each bucket of grams.
 _BUCKET = 1_000_000
-#: Parts, a power of 2, in which the grams of all texts are joined with the tree, to hold less on disk at once.
+#: Parts, a power of 2, in which the grams of all texts are looked up in the tree, to hold less on disk at once.
 _PIECES = 4
+#: Times of a gram in one flush of some million beyond which it is joined by itself and not by bucket.
+_HOT = 1024
 
 
 @contextmanager
@@ -493,8 +499,11 @@ def tables(training: DataFrame, words: DataFrame, tokens: int, kinds: int, *, de
         p = F.coalesce(own + F.col("escape") * F.col("parent"), F.col("parent"))
         delta = F.coalesce(F.log10(own + F.col("escape") * F.col("parent")) - F.log10("escape") - F.log10("parent"), F.lit(0.0))
         levels.append((below, states))
-        below = stored(rows.join(states, "pre", "left").select("key", "n", p.alias("p"), delta.alias("delta")), "lm-level")
-        discard(rows)
+        below = rows.join(states, "pre", "left").select("key", "n", p.alias("p"), delta.alias("delta"))
+        if length <= depth:
+            # the longest grams are neither contexts nor suffixes of others, and read once, below
+            below = stored(below, "lm-level")
+            discard(rows)
         least = _LEAST_CONTEXT
     escapes = lambda states, key: states.select(F.col("pre").alias(key), F.log10("escape").alias("escape"))
     levels.append((below, None))
@@ -515,6 +524,131 @@ def tables(training: DataFrame, words: DataFrame, tokens: int, kinds: int, *, de
     return out
 
 
+def _dealt(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """An order of keys by bucket and piece, the buckets, and where in that order each bucket's pieces begin and end."""
+    cell = (((key.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64) * _PIECES + (key & (_PIECES - 1))
+    if buckets * _PIECES <= 1 << 16:
+        # short numbers are sorted by their digits
+        cell = cell.astype(np.uint16)
+    order = np.argsort(cell, kind="stable")
+    cell = cell[order]
+    present = np.unique(cell // _PIECES).astype(np.int64)
+    grid = (present[:, None] * _PIECES + np.arange(_PIECES)).astype(cell.dtype)
+    return order, present, np.searchsorted(cell, grid, "left"), np.searchsorted(cell, grid, "right")
+
+
+def _blobs(arrays: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    return [b"".join(x[i:j].tobytes() for x in arrays) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
+def _packed(entries: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, blob0, blob1, ...): the entries (key, value, root) as bytes of three arrays, dealt like the grams that look them up."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held, size = [], 0
+
+        def rows():
+            key, value, root = (np.concatenate(x) for x in zip(*held, strict=True))
+            order, present, starts, ends = _dealt(key, buckets)
+            arrays = [x[order] for x in (key, value, root)]
+            return pa.RecordBatch.from_arrays([pa.array(present), *(pa.array(_blobs(arrays, starts[:, k], ends[:, k]), pa.binary()) for k in range(_PIECES))], names)
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append([c.to_numpy() for c in batch.columns])
+                size += batch.num_rows
+            if size > 1_000_000:
+                yield rows()
+                held, size = [], 0
+        if held:
+            yield rows()
+
+    names = ["bucket", *(f"blob{k}" for k in range(_PIECES))]
+    return stored(entries.select("key", "value", "root").mapInArrow(run, "bucket long" + "".join(f", blob{k} binary" for k in range(_PIECES))), "lm-packed")
+
+
+def _looked_up(entries: DataFrame, grams: DataFrame) -> DataFrame:
+    """(row, gained, rare, more): for each row, the values and roots of its grams and how many are words.
+
+    ``entries``: (bucket, blob) of the tree; ``grams``: (bucket, flush, blob), whose
+    blobs hold keys and how far their rows lie behind the flush's first. A task
+    holds one bucket's entries and looks up its grams as they come by; what it finds
+    goes back to the flush, which is summed by row. Both are bounded by how they were cut.
+    """
+
+    def looked(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        own, parts, table, held, size = None, [], None, [], 0
+
+        def found():
+            nonlocal table
+            if table is None:
+                columns = [(np.frombuffer(x, np.int64, len(x) // 24), np.frombuffer(x, np.float64, len(x) // 12, len(x) // 3)) for x in parts]
+                key = np.concatenate([np.zeros(0, np.int64), *(c[0] for c in columns)])
+                order = np.argsort(key)
+                value = np.concatenate([np.zeros(0), *(c[1][: len(c[0])] for c in columns)])
+                root = np.concatenate([np.zeros(0), *(c[1][len(c[0]) :] for c in columns)])
+                table = key[order], value[order], root[order]
+            sizes = [len(x) // 10 for _, x in held]
+            place = _found(table[0], np.concatenate([np.frombuffer(x, np.int64, m) for (_, x), m in zip(held, sizes, strict=True)]))
+            at, out = 0, []
+            for (_, blob), m in zip(held, sizes, strict=True):
+                mine, behind = place[at : at + m], np.frombuffer(blob, np.uint16, m, 8 * m)
+                hit = mine >= 0
+                mine, behind = mine[hit], behind[hit]
+                root = table[2][mine]
+                word = root > 0
+                out.append(b"".join(x.tobytes() for x in (np.array([len(mine)]), table[1][mine], behind, root[word], behind[word])))
+                at += m
+            return pa.RecordBatch.from_arrays([pa.array([f for f, _ in held], pa.int64()), pa.array(out, pa.binary())], ["flush", "blob"])
+
+        for batch in batches:
+            for bucket, flush, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != own:
+                    if held:
+                        yield found()
+                    own, parts, table, held, size = bucket, [], None, [], 0
+                if flush is None:
+                    parts.append(blob)
+                    continue
+                held.append((flush, blob))
+                size += len(blob)
+                if size > 5_000_000:
+                    yield found()
+                    held, size = [], 0
+        if held:
+            yield found()
+
+    def summed(table):
+        import pyarrow as pa
+
+        parts = []
+        for blob in table.column("blob").to_pylist():
+            m = int(np.frombuffer(blob, np.int64, 1)[0])
+            k = (len(blob) - 8 - 10 * m) // 10
+            parts.append((
+                np.frombuffer(blob, np.float64, m, 8), np.frombuffer(blob, np.uint16, m, 8 + 8 * m),
+                np.frombuffer(blob, np.float64, k, 8 + 10 * m), np.frombuffer(blob, np.uint16, k, 8 + 10 * m + 8 * k),
+            ))
+        value, behind, root, word = (np.concatenate(x) for x in zip(*parts, strict=True))
+        n = int(behind.max()) + 1 if len(behind) else 0
+        any_ = np.flatnonzero(np.bincount(behind, minlength=n))
+        sums = (np.bincount(behind, value, n), np.bincount(word, root, n), np.bincount(word, minlength=n))
+        first = table.column("flush")[0].as_py()
+        return pa.table([pa.array(any_ + first), *(pa.array(x[any_]) for x in sums)], ["row", "gained", "rare", "more"])
+
+    both = entries.select("bucket", F.lit(None).cast("long").alias("flush"), "blob").unionByName(grams.select("bucket", "flush", "blob")).filter(F.length("blob") > 0)
+    # the tree's entries come first in their bucket, as nulls do
+    dealt = both.repartition("bucket").sortWithinPartitions("bucket", "flush")
+    back = dealt.mapInArrow(looked, "flush long, blob binary")
+    return back.groupBy("flush").applyInArrow(summed, "row long, gained double, rare double, more long")
+
+
+
+
 def score(docs: DataFrame, training: DataFrame, **options) -> DataFrame:
     """`scored`, its tables joined by hash where they are small enough."""
     with _hashed_joins(docs.sparkSession):
@@ -533,30 +667,64 @@ def scored(docs: DataFrame, training: DataFrame, *, depth: int = 2, context_shar
     words, values = tables(training, counts, tokens, kinds, depth=depth, **growth)
     discard(counts)
     floor = float(np.log10(tokens + kinds + 1))
+    buckets = min(1 + tokens // _BUCKET, 1 << 20)
     often = F.col("n") >= max(2, tokens * next_share)
-    frequent = words.filter((F.col("n") >= max(2, tokens * context_share)) | (F.col("word") == int(hashes_of([_END])[0])))
-    alphabet, counts, escapes = _arrays(frequent.orderBy("word"))
+    known = (F.col("n") >= max(2, tokens * context_share)) | (F.col("word") == int(hashes_of([_END])[0]))
+    alphabet, counts, escapes = _arrays(words.filter(known).orderBy("word"))
     keys, _, gains = _arrays(values.filter(often).orderBy("key"))
     seldom = values.filter(~often).select("key", "value")
+    root = F.log10(F.col("n") + 1)
+    entries = seldom.withColumn("root", F.lit(0.0)).unionByName(words.filter(~known).select(F.col("word").alias("key"), (root + F.col("escape")).alias("value"), root.alias("root")))
     shared = spark.sparkContext.broadcast((alphabet, np.log10(counts + 1) - floor, escapes, keys, gains, _filter(seldom)))
+    packed = _packed(entries, buckets)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         alphabet, roots, escapes, keys, gains, bits = shared.value
+        held, size, first = [], 0, None
+
+        def filled(columns, n):
+            return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+
+        def flushed():
+            key, behind = (np.concatenate(x) for x in zip(*held, strict=True))
+            order, present, starts, ends = _dealt(key, buckets)
+            key, behind = key[order], behind[order]
+            # a cell that is far too large may hold a key that is seldom in training only
+            for i, j in zip(starts.ravel().tolist(), ends.ravel().tolist(), strict=True):
+                if j - i > _HOT + 4 * len(key) // (buckets * _PIECES):
+                    kinds, place, times = np.unique(key[i:j], return_inverse=True, return_counts=True)
+                    hot = (times > _HOT)[place]
+                    if hot.any():
+                        k = int(hot.sum())
+                        yield filled({"row": pa.array(behind[i:j][hot].astype(np.int64) + first), "hot": pa.array(key[i:j][hot])}, k)
+                        # what is left comes first in the cell, and the cell ends with it
+                        rest = np.argsort(hot, kind="stable")
+                        key[i:j], behind[i:j] = key[i:j][rest], behind[i:j][rest]
+                        ends[(starts == i) & (ends == j)] -= k
+            columns = {f"grams{k}": pa.array(_blobs([key, behind], starts[:, k], ends[:, k]), pa.binary()) for k in range(_PIECES)}
+            yield filled({"row": pa.array(np.full(len(present), first)), "bucket": pa.array(present), **columns}, len(present))
+
         for batch in (x for b in batches for x in slices(b, 512)):
             gram, starts = read(batch.column(2))
             if not len(starts):
                 continue
+            rows = batch.column(0).to_numpy()
+            if held and (size > 2_000_000 or int(rows[-1]) - first >= 1 << 16):
+                yield from flushed()
+                held, size = [], 0
+            if not held:
+                first = int(rows[0])
             n = len(gram)
-            before, text = _places(starts, n), np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+            before, text = _places(starts, n), np.repeat((rows - first).astype(np.uint16), np.diff(np.append(starts, n)))
             place = _found(alphabet, gram)
-            known = place >= 0
-            base, own = np.zeros(n), np.zeros(n)
-            base[known] = roots[place[known]]
-            own[known] = base[known] + escapes[place[known]]
-            grams = []
-            rare = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(np.flatnonzero(~known), starts), (~known).sum()).astype(np.int32)), pa.array(gram[~known]))
+            seen = place >= 0
+            base, own = np.full(n, -floor), np.full(n, -floor)
+            base[seen] = roots[place[seen]]
+            own[seen] = base[seen] + escapes[place[seen]]
+            held.append((gram[~seen], text[~seen]))
+            size += len(held[-1][0])
             for length in range(2, depth + 2):
                 gram = _longer(gram)
                 at = np.flatnonzero(before >= length - 1)
@@ -565,39 +733,37 @@ def scored(docs: DataFrame, training: DataFrame, *, depth: int = 2, context_shar
                 hit = place >= 0
                 own[at[hit]] += gains[place[hit]]
                 more = ~hit & _passes(bits, key)
-                for piece in range(_PIECES):
-                    mine = more & ((key & (_PIECES - 1)) == piece)
-                    ends = np.append(0, np.cumsum(np.bincount(text[at[mine]], minlength=len(starts)))).astype(np.int32)
-                    grams.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(key[mine])))
-            sums = [pa.array(np.add.reduceat(x, starts)) for x in (known.astype(np.int64), base, own)]
-            sizes = pa.array(np.diff(np.append(starts, n)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, *sums, rare, *grams], names)
-
-    asked = [f"grams{n}_{piece}" for n in range(2, depth + 2) for piece in range(_PIECES)]
-    names = ["row", "doc_id", "n_tokens", "known", "base", "own", "words", *asked]
+                held.append((key[more], text[at[more]]))
+                size += len(held[-1][0])
+            sums = {c: pa.array(np.add.reduceat(x, starts)) for c, x in (("known", seen.astype(np.int64)), ("base", base), ("own", own))}
+            yield filled({"row": batch.column(0), "doc_id": batch.column(1), "n_tokens": pa.array(np.diff(np.append(starts, n))), **sums}, batch.num_rows)
+        if held:
+            yield from flushed()
+
+    import pyarrow as pa
+
+    numbers = {"row": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "own": pa.float64(), "hot": pa.int64(), "bucket": pa.int64()}
+    schema = pa.schema([*numbers.items(), *((f"grams{k}", pa.binary()) for k in range(_PIECES))])
+    kinds_ = "row long, doc_id long, n_tokens long, known long, base double, own double, hot long, bucket long" + "".join(f", grams{k} binary" for k in range(_PIECES))
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    kinds_ = "row long, doc_id long, n_tokens long, known long, base double, own double, words array<long>" + "".join(f", {c} array<long>" for c in asked)
     table = stored(source.mapInArrow(run, kinds_), "lm-rows")
-    rare = table.select("row", F.explode("words").alias("word")).join(words, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    root = F.log10(F.col("n") + 1) - floor
-    known = F.when(F.col("n") > 0, 1).otherwise(0)
-    rare = rare.groupBy("row").agg(F.sum(root).alias("rare"), F.sum(known).alias("more"), F.sum(root + F.coalesce("escape", F.lit(0.0))).alias("added"))
-    rare = stored(rare, "lm-rare")
-    discard(words)
     gained = []
-    for column in asked:
-        # a length and a part of the keys at a time, as the shuffle of all texts' grams would be the largest of all
-        mine = seldom.filter(F.col("key").bitwiseAND(_PIECES - 1) == int(column.split("_")[1]))
-        grams = table.select("row", F.explode(column).alias("key")).join(mine, "key")
-        gained.append(stored(grams.groupBy("row").agg(F.sum("value").alias(f"gained_{column}")), "lm-gained"))
-    slim = stored(table.drop("words", *asked), "lm-sums")
+    hot = table.filter(F.col("hot").isNotNull()).select("row", F.col("hot").alias("key"))
+    if not hot.isEmpty():
+        sums = F.sum("value").alias("gained"), F.sum("root").alias("rare"), F.sum((F.col("root") > 0).cast("long")).alias("more")
+        gained.append(stored(hot.join(entries, "key").groupBy("row").agg(*sums), "lm-gained"))
+    discard(words)
     discard(values)
+    for k in range(_PIECES):
+        # a part of the keys at a time, as the shuffle of all texts' grams would be the largest of all
+        grams = table.filter(F.col("bucket").isNotNull()).select("bucket", F.col("row").alias("flush"), F.col(f"grams{k}").alias("blob"))
+        gained.append(stored(_looked_up(packed.select("bucket", F.col(f"blob{k}").alias("blob")), grams), "lm-gained"))
+    slim = stored(table.filter(F.col("n_tokens").isNotNull()).select("row", "doc_id", "n_tokens", "known", "base", "own"), "lm-sums")
+    discard(packed)
     discard(table)
+    found = reduce(DataFrame.unionByName, gained).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("gained", "rare", "more")))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    slim = slim.join(rare, "row", "left")
-    for sums in gained:
-        slim = slim.join(sums, "row", "left")
-    return slim.select(
+    return slim.join(found, "row", "left").select(
         "doc_id", "n_tokens", (F.col("known") + zero("more")).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("rare")).alias("base_score"), sum((zero(f"gained_{c}") for c in asked), F.col("own") + zero("added")).alias("score"),
+        (F.col("base") + zero("rare")).alias("base_score"), (F.col("own") + zero("gained")).alias("score"),
     )
