@@ -52,7 +52,7 @@ _LEAST_WORD, _LEAST_CONTEXT, _LEAST_NEXT = 2, 4, 2
 #: Tokens of the corpus for each bucket of grams.
 _BUCKET = 1_000_000
 #: Parts, a power of 2, in which the grams of all texts are looked up in the tree, to hold less on disk at once.
-_PIECES = 4
+_PIECES = 8
 #: Times of a gram in one flush of some million beyond which it is joined by itself and not by bucket.
 _HOT = 1024
 
@@ -126,6 +126,35 @@ def _found(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
+class Places:
+    """Places of sorted keys that are spread evenly over all 64-bit numbers, found by their highest bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = min(max((4 * len(keys)).bit_length(), 1), 22)
+        self.shift = np.uint64(64 - bits)
+        self.begins = np.append(0, np.cumsum(np.bincount(self._cell(keys), minlength=1 << bits))).astype(np.int32)
+
+    def _cell(self, keys: np.ndarray) -> np.ndarray:
+        # signed numbers in ascending order, as unsigned ones
+        return ((keys.view(np.uint64) ^ np.uint64(1 << 63)) >> self.shift).astype(np.int64)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        cell = self._cell(wanted)
+        at, end = self.begins[cell], self.begins[cell + 1]
+        out = np.full(len(wanted), -1, np.int64)
+        live = np.flatnonzero(at < end)
+        at, end, wanted = at[live], end[live], wanted[live]
+        while len(live):
+            hit = self.keys[at] == wanted
+            out[live[hit]] = at[hit]
+            at += 1
+            more = ~hit & (at < end)
+            live, at, end, wanted = live[more], at[more], end[more], wanted[more]
+        return out
+
+
 @dataclass
 class Level:
     """The candidate contexts of one length by sorted code, those retained, and their kept next symbols."""
@@ -591,9 +620,9 @@ def _looked_up(entries: DataFrame, grams: DataFrame) -> DataFrame:
                 order = np.argsort(key)
                 value = np.concatenate([np.zeros(0), *(c[1][: len(c[0])] for c in columns)])
                 root = np.concatenate([np.zeros(0), *(c[1][len(c[0]) :] for c in columns)])
-                table = key[order], value[order], root[order]
+                table = Places(key[order]), value[order], root[order]
             sizes = [len(x) // 10 for _, x in held]
-            place = _found(table[0], np.concatenate([np.frombuffer(x, np.int64, m) for (_, x), m in zip(held, sizes, strict=True)]))
+            place = table[0].find(np.concatenate([np.frombuffer(x, np.int64, m) for (_, x), m in zip(held, sizes, strict=True)]))
             at, out = 0, []
             for (_, blob), m in zip(held, sizes, strict=True):
                 mine, behind = place[at : at + m], np.frombuffer(blob, np.uint16, m, 8 * m)
@@ -636,7 +665,8 @@ def _looked_up(entries: DataFrame, grams: DataFrame) -> DataFrame:
         value, behind, root, word = (np.concatenate(x) for x in zip(*parts, strict=True))
         n = int(behind.max()) + 1 if len(behind) else 0
         any_ = np.flatnonzero(np.bincount(behind, minlength=n))
-        sums = (np.bincount(behind, value, n), np.bincount(word, root, n), np.bincount(word, minlength=n))
+        # without input the sums would be whole numbers
+        sums = (np.bincount(behind, value, n).astype(float), np.bincount(word, root, n).astype(float), np.bincount(word, minlength=n))
         first = table.column("flush")[0].as_py()
         return pa.table([pa.array(any_ + first), *(pa.array(x[any_]) for x in sums)], ["row", "gained", "rare", "more"])
 
@@ -682,6 +712,7 @@ def scored(docs: DataFrame, training: DataFrame, *, depth: int = 2, context_shar
         import pyarrow as pa
 
         alphabet, roots, escapes, keys, gains, bits = shared.value
+        alphabet, keys = Places(alphabet), Places(keys)
         held, size, first = [], 0, None
 
         def filled(columns, n):
@@ -718,7 +749,7 @@ def scored(docs: DataFrame, training: DataFrame, *, depth: int = 2, context_shar
                 first = int(rows[0])
             n = len(gram)
             before, text = _places(starts, n), np.repeat((rows - first).astype(np.uint16), np.diff(np.append(starts, n)))
-            place = _found(alphabet, gram)
+            place = alphabet.find(gram)
             seen = place >= 0
             base, own = np.full(n, -floor), np.full(n, -floor)
             base[seen] = roots[place[seen]]
@@ -729,7 +760,7 @@ def scored(docs: DataFrame, training: DataFrame, *, depth: int = 2, context_shar
                 gram = _longer(gram)
                 at = np.flatnonzero(before >= length - 1)
                 key = gram[at - length + 1]
-                place = _found(keys, key)
+                place = keys.find(key)
                 hit = place >= 0
                 own[at[hit]] += gains[place[hit]]
                 more = ~hit & _passes(bits, key)

@@ -165,6 +165,38 @@ def plain_tree(training, depth=2):
     return probability, states
 
 
+def test_suffix_scores_of_a_word_that_is_seldom_in_training_only(spark, monkeypatch):
+    training = spark.createDataFrame([(k, text) for k, text in enumerate(["alpha beta", "alpha beta", *[f"gamma delta {k}" for k in range(40)]])], "doc_id long, text string")
+    docs = spark.createDataFrame([(k, "alpha") for k in range(300)] + [(300, "alpha beta"), (301, "beta unseen"), (302, None)], "doc_id long, text string").coalesce(1)
+    names, plain = [], suffix_model.stored
+
+    def noted(df, name):
+        names.append(name)
+        return plain(df, name)
+
+    monkeypatch.setattr(suffix_model, "stored", noted)
+    results = []
+    for hot in (1024, 20):
+        monkeypatch.setattr(suffix_model, "_HOT", hot)
+        names.clear()
+        rows = suffix_model.score(docs, training, context_share=1.0, next_share=1.0, evidence=0.1).collect()
+        results.append({r.doc_id: r for r in rows})
+        assert names.count("lm-gained") == suffix_model._PIECES + (hot == 20)
+    for k, row in results[0].items():
+        other = results[1][k]
+        assert (row.n_known, row.n_tokens) == (other.n_known, other.n_tokens)
+        assert row.score == pytest.approx(other.score, abs=1e-9) and row.base_score == pytest.approx(other.base_score, abs=1e-9)
+    assert [results[0][k].n_known for k in (0, 300, 301, 302)] == [2, 3, 2, 1]
+
+
+def test_places_of_sorted_keys():
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(-(2**63), 2**63 - 1, 5000))
+    asked = np.concatenate([keys[::3], rng.integers(-(2**63), 2**63 - 1, 500), [-(2**63), 2**63 - 1]])
+    for some in (keys, keys[:1], keys[:0], np.arange(200), np.array([-(2**63), 2**63 - 1])):
+        assert (suffix_model.Places(some).find(asked) == suffix_model._found(some, asked)).all()
+
+
 def test_suffix_scores_against_a_plain_tree(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
     words = lambda t: [*lm_counts([])[1](t)]
