@@ -33,7 +33,7 @@ class Condition:
 _count = [0]
 _NAME = r"[^\W\d][\w$]*"
 _PATH = re.compile(rf"{_NAME}(?:\.{_NAME}|\[(?:-?\d+)?\])*")
-_OUTPUT = re.compile(rf"(?:\*|(?P<path>{_PATH.pattern})|[A-Za-z_]+\((?:\*|{_PATH.pattern})\))(?:\s+(?:AS\s+)?{_NAME})?", re.IGNORECASE)
+_OUTPUT = re.compile(rf"(?:\*|{_PATH.pattern})(?:\s+(?:AS\s+)?{_NAME})?", re.IGNORECASE)
 
 
 def checked(path: str) -> str:
@@ -43,9 +43,21 @@ def checked(path: str) -> str:
     return path
 
 
+def _function(text: str) -> S.Output | None:
+    """The output that a text is, if it is one function of the dialect: what its parentheses hold can't reach out of them.
+    Parameters belong to conditions. Text at the end that is none of it, as a comment, would take in the x."""
+    try:
+        parser = S.Parser(f"{text}, x")
+        first, *rest = parser.listed(parser.output)
+    except ValueError:
+        return None
+    alone = parser.now.kind == "end" and rest == [S.Output(S.Path(("x",)), None, "x")]
+    return first if alone and isinstance(first.expr, S.Call) and not any(isinstance(n, S.Parameter) for n in S.walk(first.expr)) else None
+
+
 def _checked_output(output: str) -> str:
-    """A path, * or a function of one, with or without a name."""
-    if not isinstance(output, str) or not _OUTPUT.fullmatch(output):
+    """A path, * or a function, with or without a name."""
+    if not isinstance(output, str) or not (_OUTPUT.fullmatch(output) or _function(output)):
         raise ValueError(f"not an output: {output!r}")
     return output
 

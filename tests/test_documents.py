@@ -197,6 +197,21 @@ def test_builder_accepts_paths(db):
     assert q.where(B.gt("tunings[].steps", 6)).count() == 2 and q.group_by("made.town").select("made.town", "COUNT(*) AS n").count() == 4
 
 
+def test_builder_accepts_functions_of_functions(db):
+    outputs = ("made.town AS town", "ROUND(SUM(strings) / 3, 2) AS third", "ROUND(-AVG(id), 1)", "CONCAT(TOSTRING(MAX(id)), ', -- x') AS last")
+    q = B.Query(db["kit"], "kit").where(B.eq("made.town", "Izmir")).group_by("made.town").select(*outputs)
+    assert q.df().columns == ["town", "third", "ROUND(-AVG(id), 1)", "last"]
+    assert [tuple(r)[1:] for r in q.df().collect()] == [(0.0, -4.0, "6, -- x")]
+
+
+@pytest.mark.parametrize(
+    "output", ["ROUND(SUM(id), 2) AS a, name", "ROUND(id) FROM kit", "ROUND(id) --", "ROUND(id) AS a --", "ROUND(id) /*", "ROUND(id", "ROUND(id))", "ROUND(id) > 1 OR ROUND(id)", "ROUND(@p1)", "NONE(id)", "ROUND(id) AS a b"]
+)
+def test_builder_rejects_what_reaches_out_of_a_function(db, output):
+    with pytest.raises(ValueError, match="not an output"):
+        B.Query(db["kit"], "kit").select(output)
+
+
 def test_typed_plan_pushes_filters_down(spark, tmp_path):
     spark.range(100).selectExpr("id AS a", "id * 2 AS b", "cast(id AS string) AS c").write.parquet(str(tmp_path / "t"))
     df = Database(spark, t=spark.read.parquet(str(tmp_path / "t"))).query("SELECT a FROM t WHERE a > 90 AND a IN (91, 95)")
