@@ -55,6 +55,12 @@ def _function(text: str) -> S.Output | None:
     return first if alone and isinstance(first.expr, S.Call) and not any(isinstance(n, S.Parameter) for n in S.walk(first.expr)) else None
 
 
+def _operand(text: str) -> str:
+    """A path or a function, as COUNT(*) in a condition on groups."""
+    found = _function(text) if isinstance(text, str) else None
+    return text if found and found.alias is None else checked(text)
+
+
 def _checked_output(output: str) -> str:
     """A path, * or a function, with or without a name."""
     if not isinstance(output, str) or not (_OUTPUT.fullmatch(output) or _function(output)):
@@ -67,7 +73,7 @@ def _with(path: str, rest: str, *values) -> Condition:
     for _ in values:
         _count[0] += 1
         names.append(f"p{_count[0]}")
-    return Condition(f"{checked(path)} {rest.format(*[f'@{n}' for n in names])}", dict(zip(names, values, strict=True)))
+    return Condition(f"{_operand(path)} {rest.format(*[f'@{n}' for n in names])}", dict(zip(names, values, strict=True)))
 
 
 def _escaped(text: str) -> str:
@@ -100,7 +106,7 @@ def ge(path: str, value) -> Condition:
 
 def in_(path: str, values: list) -> Condition:
     """No values: never true."""
-    return _with(path, "IN {}", list(values)) if values else Condition("FALSE" if checked(path) else "")
+    return _with(path, "IN {}", list(values)) if values else Condition("FALSE" if _operand(path) else "")
 
 
 def between(path: str, low, high) -> Condition:
@@ -124,11 +130,11 @@ def contains(path: str, text: str) -> Condition:
 
 
 def is_null(path: str) -> Condition:
-    return Condition(f"{checked(path)} IS NULL")
+    return Condition(f"{_operand(path)} IS NULL")
 
 
 def is_missing(path: str) -> Condition:
-    return Condition(f"{checked(path)} IS MISSING")
+    return Condition(f"{_operand(path)} IS MISSING")
 
 
 def _joined(word: str, parts: tuple[Condition, ...]) -> Condition:
@@ -175,10 +181,10 @@ class Query:
         return replace(self, outputs=tuple(map(_checked_output, outputs)))
 
     def group_by(self, *keys: str) -> Query:
-        return replace(self, keys=tuple(map(checked, keys)))
+        return replace(self, keys=tuple(map(_operand, keys)))
 
     def order_by(self, path: str, descending: bool = False) -> Query:
-        return replace(self, orders=(*self.orders, (checked(path), descending)))
+        return replace(self, orders=(*self.orders, (_operand(path), descending)))
 
     def distinct(self) -> Query:
         return replace(self, unique=True)

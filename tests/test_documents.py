@@ -212,6 +212,23 @@ def test_builder_rejects_what_reaches_out_of_a_function(db, output):
         B.Query(db["kit"], "kit").select(output)
 
 
+def test_builder_takes_functions_in_conditions_keys_and_orders(db):
+    q = B.Query(db["kit"], "kit")
+    lengths = q.group_by("LENGTH(name)").select("LENGTH(name) AS size", "COUNT(*) AS n")
+    assert [tuple(r) for r in lengths.where(B.gt("COUNT(*)", 1)).order_by("COUNT(*)", True).df().collect()] == [(4, 3), (5, 2)]
+    assert [tuple(r) for r in lengths.where(B.between("SUM(id)", 5, 6), B.in_("MAX(id)", [4, 6])).order_by("MAX(id)").df().collect()] == [(5, 2), (3, 1)]
+    assert [r.n for r in lengths.where(B.is_null("MAX(made.year)")).df().collect()] == [3]
+    assert q.where(B.eq("LENGTH(name)", 4)).order_by("SUBSTR(name, 1, 1)", True).select("TOINT(id) AS i").df().collect() == [(5,), (2,), (3,)]
+
+
+@pytest.mark.parametrize("path", ["COUNT(*) > 0 OR COUNT(*)", "COUNT(*) --", "COUNT(*) AS n", "COUNT(*) n", "COUNT(*), id", "COUNT(*) + 1", "COUNT(@p1)", "COUNT(*", "COUNT(*))", "NONE(id)", "*", "1"])
+def test_builder_rejects_more_than_one_function(db, path):
+    q = B.Query(db["kit"], "kit").group_by("name")
+    for make in (lambda: B.gt(path, 1), lambda: B.in_(path, []), lambda: B.is_null(path), lambda: B.is_missing(path), lambda: q.order_by(path), lambda: q.group_by(path)):
+        with pytest.raises(ValueError, match="not a path"):
+            make()
+
+
 def test_typed_plan_pushes_filters_down(spark, tmp_path):
     spark.range(100).selectExpr("id AS a", "id * 2 AS b", "cast(id AS string) AS c").write.parquet(str(tmp_path / "t"))
     df = Database(spark, t=spark.read.parquet(str(tmp_path / "t"))).query("SELECT a FROM t WHERE a > 90 AND a IN (91, 95)")
