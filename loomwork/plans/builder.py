@@ -249,7 +249,7 @@ class Query:
         return not self.any(not_(condition))
 
     def _aggregate(self, name: str, path: str):
-        return replace(self, outputs=(f"{name}({checked(path)}) AS x",), orders=()).df().first().x
+        return replace(self, outputs=(f"{name}({_operand(path)}) AS x",), orders=()).df().first().x
 
     def sum(self, path: str):
         return self._aggregate("SUM", path)

@@ -229,6 +229,16 @@ def test_builder_rejects_more_than_one_function(db, path):
             make()
 
 
+def test_builder_terminals_take_functions(db):
+    q = B.Query(db["kit"], "kit").where(B.lt("id", 6))
+    row = q.select("COUNT(*) AS n", "ROUND(SUM(LENGTH(name)), 2) AS total", "ROUND(AVG(LENGTH(name)), 4) AS mean", "MIN(LENGTH(name)) AS low", "MAX(LENGTH(name)) AS high").df().first()
+    assert tuple(row) == (5, 22, 4.4, 4, 5)
+    assert (q.sum("LENGTH(name)"), q.average("LENGTH(name)"), q.min("LENGTH(name)"), q.max("LENGTH(name)")) == (22, 4.4, 4, 5)
+    for path in ("LENGTH(name) AS n", "LENGTH(name)) AS x, MAX(id", "LENGTH(name) --"):
+        with pytest.raises(ValueError, match="not a path"):
+            q.sum(path)
+
+
 def test_typed_plan_pushes_filters_down(spark, tmp_path):
     spark.range(100).selectExpr("id AS a", "id * 2 AS b", "cast(id AS string) AS c").write.parquet(str(tmp_path / "t"))
     df = Database(spark, t=spark.read.parquet(str(tmp_path / "t"))).query("SELECT a FROM t WHERE a > 90 AND a IN (91, 95)")
