@@ -187,6 +187,14 @@ def arithmetic(op: str, a: Value, b: Value) -> Value:
     return Value(out, "num", T.LongType() if whole else T.DecimalType() if exact else T.DoubleType())
 
 
+def _mean(n: Column, count: Column, rough: Column) -> Column:
+    """The mean of doubles: where all of a group have six decimals at most, it is summed exactly, whatever the order of rows."""
+    n = n.cast("double")
+    units = F.rint(n * 1e6)
+    whole = F.when((F.abs(units) < 2.0**53) & (units / 1e6 == n), units.cast("long").cast("decimal(16,0)"))
+    return F.when((F.count(n) > 0) & (F.count(whole) == F.count(n)), F.try_divide(F.sum(whole).cast("double"), count * 1e6)).otherwise(rough)
+
+
 def aggregate(call: S.Call, scope: Scope) -> tuple[Column, Value]:
     """The aggregate as a column, and a value of its kind."""
     if call.star:
@@ -204,9 +212,10 @@ def aggregate(call: S.Call, scope: Scope) -> tuple[Column, Value]:
         kind = T.LongType() if isinstance(v.type, T.IntegralType) else v.type if isinstance(v.type, T.DecimalType) else T.DoubleType()
         return F.coalesce(F.sum(n), F.lit(0)), Value(F.lit(0), "num", kind)
     if call.name == "AVG":
-        if v.kind == "num":
+        if v.kind == "num" and not isinstance(v.type, (T.DoubleType, T.FloatType)):
             return F.avg(n), Value(F.lit(0), "num", T.DoubleType())
-        return F.try_divide(F.coalesce(F.sum(n), F.lit(0.0)), F.count(present)), Value(F.lit(0), "num", T.DoubleType())
+        rough = F.avg(n) if v.kind == "num" else F.try_divide(F.coalesce(F.sum(n), F.lit(0.0)), F.count(present))
+        return _mean(n, F.count(n) if v.kind == "num" else F.count(present), rough), Value(F.lit(0), "num", T.DoubleType())
     if v.kind in ("num", "str", "bool", "time"):
         return (F.min if call.name == "MIN" else F.max)(v.col), v
     held = F.when(~scope.absent(v, "NULL"), V.as_variant(v))

@@ -255,3 +255,11 @@ def test_missing_null_and_values_are_all_ordered(spark, duck):
     want = [r[0] for r in duck.execute(catalog.SQL["d_schemaless_order"]).fetchall()]
     assert len(want) == spark.read.parquet(f"{DATA}/events.parquet").count()
     assert [r.event_id for r in catalog.QUERIES["d_schemaless_order"](spark, str(DATA)).collect()] == want
+
+
+def test_means_do_not_depend_on_the_order_of_rows(spark):
+    orders = {1: [0.1, 0.05, 0.01, 0.04], 2: [0.04, 0.01, 0.05, 0.1], 3: [0.05, 0.07, 0.02, 0.09, 0.07, 0.03, 0.02], 4: [0.05, 0.051], 5: [1e300, 1e300], 6: [0.1, None]}
+    rows = spark.createDataFrame([(g, x) for g, xs in orders.items() for x in xs], "g long, x double").coalesce(1)
+    found = Database(spark, t=rows).query("SELECT g, AVG(x) AS mean FROM t GROUP BY g")
+    assert {r.g: r.mean for r in found.collect()} == {1: 0.05, 2: 0.05, 3: 0.05, 4: 0.0505, 5: 1e300, 6: 0.1}
+    assert [r.g for r in Database(spark, t=rows).query("SELECT g FROM t GROUP BY g HAVING AVG(x) > 0.05 ORDER BY g").collect()] == [4, 5, 6]
