@@ -230,3 +230,7 @@ def _kept_once(spark, base, metric, name="HNSW12"):
 
 def test_graphs_are_built_once_for_all_searches(spark, base):
     _kept_once(spark, base, "l2")
+
+
+def test_graphs_for_inner_products_are_built_once(spark, base):
+    _kept_once(spark, base, "ip")
