@@ -234,3 +234,7 @@ def test_graphs_are_built_once_for_all_searches(spark, base):
 
 def test_graphs_for_inner_products_are_built_once(spark, base):
     _kept_once(spark, base, "ip")
+
+
+def test_graphs_for_cosines_are_built_once(spark, base):
+    _kept_once(spark, base, "cosine")
