@@ -238,3 +238,11 @@ def test_graphs_for_inner_products_are_built_once(spark, base):
 
 def test_graphs_for_cosines_are_built_once(spark, base):
     _kept_once(spark, base, "cosine")
+
+
+def test_graphs_of_codes_are_built_once(spark, base):
+    index = indexes.factory("HNSW12,SQ8", base)
+    index.index.shard, index.index.together, index.index.block = 150, 2, 100
+    found = index.search(base, 5, width=60)
+    assert vectors.recall(found, vectors.knn(base, base, 5), 5).first().recall_at_k >= 0.9
+    assert index.index.table.select("s").distinct().count() == 4
